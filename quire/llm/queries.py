@@ -5,13 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, simhash
+from quire.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, spans, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def _span_digest(found: DataFrame, name: str, base: tuple[str, ...]) -> DataFrame:
+    all_spans = F.col(name)
+    return found.select(
+        "doc_id",
+        *(spans.count(all_spans, kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(spans.written(spans.only(all_spans, base)), 256).alias("base_sha256"),
+        spans.written(all_spans).alias("spans"),
+    )
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secret_scan.find_secrets(_documents(spark, sf_dir)), "secrets", secret_scan.BASE)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_documents(spark, sf_dir), count_col="n_removed")
+    return found.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.find_pii(_documents(spark, sf_dir)), "pii", pii.BASE)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_digests(spark, manifest)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_hits(docs, _table(spark, sf_dir, "benchmark"), n=13)
@@ -31,7 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op4_line_dedup, op5_decontaminate, op6_pii, op8_token_files, op9_packing, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -54,3 +103,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN pos ON pos.rid = d.rid LEFT JOIN its ON its.rid = d.rid
 """
+
+#: Three-line windows; a line goes if a window that is not the first of its kind covers it.
+ORACLE_SQL["op4_line_dedup"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+ win AS (SELECT doc_id, text, i, array_to_string(l[i:i+2], chr(10)) AS s
+         FROM (SELECT doc_id, text, l, unnest(generate_series(1, len(l) - 2)) AS i FROM d WHERE len(l) >= 3)),
+ ranked AS (SELECT doc_id, text, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM win),
+ gone AS (SELECT DISTINCT doc_id, text, i + k AS line FROM ranked, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
+ lines AS (SELECT doc_id, text, unnest(generate_series(1, len(l))) AS line, unnest(l) AS body FROM d),
+ kept AS (SELECT lines.doc_id, lines.text, string_agg(body, chr(10) ORDER BY lines.line) FILTER (gone.line IS NULL) AS kept,
+            count(gone.line) AS n_removed
+          FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.text = gone.text AND lines.line = gone.line
+          GROUP BY lines.doc_id, lines.text)
+SELECT documents.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept ON documents.doc_id = kept.doc_id AND documents.text = kept.text
+"""

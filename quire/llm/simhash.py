@@ -36,8 +36,13 @@ from quire.llm import storage, words
 from quire.llm.components import connected_components
 
 SEED = 42
-#: Bits of a variant that choose its task, and variants that a task sorts at once.
-PREFIX_BITS, PIECE = 8, 1 << 21
+#: Fingerprints for each prefix of variants, on average, and variants that a task sorts at once.
+PER_PREFIX, PIECE = 1024, 1 << 21
+
+
+def prefix_bits(n: int) -> int:
+    """Leading bits that choose a variant's group, so that groups keep their size as n grows."""
+    return min(32, max(4, (n // PER_PREFIX).bit_length()))
 
 
 def fingerprints_of(column: pa.Array, k: int) -> np.ndarray:
@@ -137,20 +142,20 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = deeper
 
 
-def _spread_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _spread_batches(batches: Iterator[pa.RecordBatch], radius: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Each fingerprint once for every prefix that its variants have."""
-    masks = ball_masks(PREFIX_BITS, radius)
+    masks = ball_masks(bits, radius)
     for batch in batches:
         points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        prefixes = ((points >> np.uint64(64 - PREFIX_BITS))[:, None] ^ masks[None, :]).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(prefixes.astype(np.int32)), pa.array(np.repeat(points, len(masks)).view(np.int64))], ["prefix", "point"])
+        prefixes = ((points >> np.uint64(64 - bits))[:, None] ^ masks[None, :]).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(prefixes.astype(np.int64)), pa.array(np.repeat(points, len(masks)).view(np.int64))], ["prefix", "point"])
 
 
-def _links_of_prefix(prefix: int, table: pa.Table, radius: int) -> pa.Table:
+def _links_of_prefix(prefix: int, table: pa.Table, radius: int, bits: int) -> pa.Table:
     points = np.unique(table.column("point").to_numpy().view(np.uint64))
-    apart = (points >> np.uint64(64 - PREFIX_BITS)) ^ np.uint64(prefix)
+    apart = (points >> np.uint64(64 - bits)) ^ np.uint64(prefix)
     left = radius - np.bitwise_count(apart).astype(np.int64)
-    links = meeting_links(points, left, 64 - PREFIX_BITS)
+    links = meeting_links(points, left, 64 - bits)
     return pa.table({"u": points[links[:, 0]].view(np.int64), "v": points[links[:, 1]].view(np.int64)})
 
 
@@ -159,11 +164,12 @@ def ball_links(points: DataFrame, *, distance: int = 4) -> DataFrame:
     ``distance`` bits (even); ``points`` has one long column."""
     if distance % 2:
         raise ValueError("distance must be even: each side takes half of it")
-    radius = distance // 2
-    spread = points.distinct().mapInArrow(partial(_spread_batches, radius=radius), "prefix int, point long")
+    radius, points = distance // 2, points.distinct()
+    bits = prefix_bits(points.count())
+    spread = points.mapInArrow(partial(_spread_batches, radius=radius, bits=bits), "prefix long, point long")
 
     def link(key, table):
-        return _links_of_prefix(key[0].as_py(), table, radius)
+        return _links_of_prefix(key[0].as_py(), table, radius, bits)
 
     return spread.groupBy("prefix").applyInArrow(link, "u long, v long")
 
