@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, spans, token_files
+from quire.llm import ann, decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, spans, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secret_scan.find_secrets(_documents(spark, sf_dir)), "secrets", secret_scan.BASE)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(_documents(spark, sf_dir), count_col="n_removed")
     return found.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -52,6 +57,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find_pii(_documents(spark, sf_dir)), "pii", pii.BASE)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(_documents(spark, sf_dir), width=13)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_files.read_digests(spark, manifest)
@@ -80,7 +90,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op4_line_dedup, op5_decontaminate, op6_pii, op8_token_files, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_nearest, op4_line_dedup, op5_decontaminate, op6_pii, op7_substring_dedup, op8_token_files, op9_packing, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -119,3 +129,17 @@ WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l FROM d
 SELECT documents.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN kept ON documents.doc_id = kept.doc_id AND documents.text = kept.text
 """
+
+#: Thirteen-word windows and the smallest id that holds each.
+ORACLE_SQL["op7_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ win AS (SELECT rid, doc_id, i, array_to_string(w[i:i+12], ' ') AS s
+         FROM (SELECT rid, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+ least AS (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first_id FROM win),
+ gone AS (SELECT DISTINCT rid, i + k AS p FROM least, (SELECT unnest(generate_series(0, 12)) AS k) WHERE first_id < doc_id),
+ each AS (SELECT rid, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM d),
+ kept AS (SELECT each.rid, string_agg(word, ' ' ORDER BY each.p) FILTER (gone.p IS NULL) AS body, count(gone.p) AS n_removed
+          FROM each LEFT JOIN gone ON each.rid = gone.rid AND each.p = gone.p GROUP BY each.rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.rid = kept.rid
+"""
