@@ -188,7 +188,7 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, length_col: str = "length",
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, pieces, end_id: int | None, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder, tail = tokens.Encoder(tokenizer, pieces), np.array([] if end_id is None else [end_id], np.uint32)
+    encoder, tail = tokens.encoder(tokenizer, pieces), np.array([] if end_id is None else [end_id], np.uint32)
     for batch in batches:
         out: list[tuple] = []
         size = 0

@@ -150,7 +150,7 @@ MANIFEST = "task int, part int, path string, documents long, ids long"
 
 
 def _write_batches(batches: Iterator[pa.RecordBatch], uri: str, tokenizer: str, pieces, end_id: int | None, file_ids: int) -> Iterator[pa.RecordBatch]:
-    encoder = tokens.Encoder(tokenizer, pieces)
+    encoder = tokens.encoder(tokenizer, pieces)
     width, tail = width_for(encoder.vocab_size), np.array([] if end_id is None else [end_id], np.uint32)
     made, writer = [], FileWriter(width)
 

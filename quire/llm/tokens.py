@@ -1,29 +1,69 @@
 """Texts to token ids with the tokenizers library, each distinct piece of text encoded once.
 
-Both public vocabularies used here never build a token across certain points of a text, so a text's
-ids are the ids of its pieces in order:
+Both kinds of public vocabulary used here never build a token across certain points of a text, so a
+text's ids are the ids of its pieces in order.  Safe points are
 
-* byte-level vocabularies: a point between a character that is no white space and a blank, tab or
-  line end.  A pre-token has white space only in front, and what the pattern sees behind such a
-  point depends on nothing before it;
-* word vocabularies that drop white space: every blank, tab or line end is a boundary and adds no id.
+* between a character that is no white space and a blank, tab or line end: a pre-token has white
+  space only in front, and what its pattern sees behind such a point depends on nothing before;
+* behind a run of Latin letters that a mark of punctuation follows: the run is a pre-token there;
+* for vocabularies that drop white space, around every blank, tab or line end, which adds no id.
 
-The library encodes each new piece; a bounded memory of pieces serves repeated ones.
+So a text is first cut before every blank, line end, comma and full stop, in a few passes in C, and
+what is between is looked up as a whole; only if it is new it is split into pieces.  Texts in which
+one of those cuts isn't safe (punctuation before a comma or stop, white space on both sides) go
+through the pattern as a whole.
+
+A piece that is one run of Latin letters (with one blank in front, for byte-level vocabularies) is a
+single pre-token and goes to the library's model at once; any other piece goes through the whole
+library tokenizer.  Bounded memories in two generations, kept as long as the worker process lives,
+serve what was seen before: what is used stays when the older generation is dropped.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: White space (as Python sees it, a superset of the vocabularies' own) then the rest of a piece;
-#: a piece goes on over white space other than blank, tab and line end.
-BYTE_PIECES = re.compile(r"\s*\S+(?:(?=[^ \t\r\n\S])\s+\S*)*|\s+")
-WORD_PIECES = re.compile(r"[^ \t\r\n]+")
-#: Pieces remembered; the memory is emptied beyond it.
-REMEMBERED = 150_000
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces for byte-level vocabularies, which keep white space.
+BYTE_PIECES = re.compile(rf" ?[{LATIN}]+(?=[ \t\r\n.,;:!?]|$)|\s*\S+(?:(?=[^ \t\r\n\S])\s+\S*)*|\s+")
+#: Pieces for vocabularies that drop white space.
+WORD_PIECES = re.compile(rf"[{LATIN}]+(?=[ \t\r\n.,;:!?]|$)|[^ \t\r\n]+")
+#: A comma or a full stop that may belong to a pre-token which began before it.
+_RUNS_ON = re.compile(rf"[^{LATIN}0-9\s][,.]")
+_SIMPLE = re.compile(rf" ?[{LATIN}]+")
+#: Entries in one generation of a memory.
+GENERATION = 600_000
+
+
+class _Memory(dict):
+    """Ids of strings, as little-endian unsigned 32-bit numbers; unknown ones are encoded."""
+
+    def __init__(self, encode, older):
+        super().__init__()
+        self._encode, self._older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self._older.get(piece)
+        if made is None:
+            made = self._encode(piece)
+        self[piece] = made
+        return made
+
+    def renewed(self) -> _Memory:
+        """This memory, or an empty one with this as its older generation."""
+        if len(self) <= GENERATION:
+            return self
+        self._older = {}
+        return _Memory(self._encode, self)
+
+
+class _Unsafe(Exception):
+    """A cut with white space on both sides."""
 
 
 class Encoder:
@@ -32,45 +72,54 @@ class Encoder:
     def __init__(self, path: str, pieces: re.Pattern):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer, self._split = Tokenizer.from_file(path), pieces.findall
+        self._model = self._tokenizer.model
         self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._index: dict[str, int] = {}
-        self._flat, self._starts, self._sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self._used = 0
-
-    def _learn(self, new: list[str]) -> None:
-        encoded = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self._index), int(sizes.sum())
-        while n + len(ids) > len(self._starts):
-            self._starts, self._sizes = np.resize(self._starts, 2 * len(self._starts)), np.resize(self._sizes, 2 * len(self._sizes))
-        while self._used + total > len(self._flat):
-            self._flat = np.resize(self._flat, 2 * len(self._flat))
-        self._flat[self._used : self._used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self._starts[n : n + len(ids)] = self._used + np.cumsum(sizes) - sizes
-        self._sizes[n : n + len(ids)] = sizes
-        self._used += total
-        for i, piece in enumerate(new, n):
-            self._index[piece] = i
+        spelled, normal = ByteLevel(add_prefix_space=False, use_regex=False), self._tokenizer.normalizer
+        letters = [c for c in map(chr, range(256)) if _SIMPLE.fullmatch(c)] + [" "]
+        self._letters = {ord(c): spelled.pre_tokenize_str(normal.normalize_str(c) if normal else c)[0][0] for c in letters}
+        self._keeps_space = pieces is BYTE_PIECES
+        self._pieces, self._parts = _Memory(self._encode, {}), _Memory(self._encode_part, {})
+
+    def _encode(self, piece: str) -> bytes:
+        if _SIMPLE.fullmatch(piece):
+            ids = [t.id for t in self._model.tokenize(piece.translate(self._letters))]
+        else:
+            ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def _encode_pieces(self, text: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, self._split(text)))
+
+    def _encode_part(self, part: str) -> bytes:
+        if not self._keeps_space:
+            part = part.strip(" \n")
+        elif part[-1:].isspace():
+            raise _Unsafe
+        return self._encode(part) if _SIMPLE.fullmatch(part) else self._encode_pieces(part)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The ids of one text as little-endian unsigned 32-bit numbers, special tokens not added;
+        null counts as empty."""
+        text = text or ""
+        if "\0" in text or _RUNS_ON.search(text):
+            out = self._encode_pieces(text)
+        else:
+            parts = text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
+            try:
+                out = b"".join(map(self._parts.__getitem__, parts))
+            except _Unsafe:
+                out = self._encode_pieces(text)
+        self._pieces, self._parts = self._pieces.renewed(), self._parts.renewed()
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of one text, special tokens not added; null counts as empty."""
-        pieces = self._split(text or "")
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        if len(self._index) > REMEMBERED:
-            self._forget()
-        index = self._index
-        try:
-            places = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-        except KeyError:
-            self._learn([p for p in dict.fromkeys(pieces) if p not in index])
-            places = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self._sizes[places]
-        ends = np.cumsum(sizes)
-        return self._flat[np.repeat(self._starts[places] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return np.frombuffer(self.encode_bytes(text), "<u4")
+
+
+@functools.cache
+def encoder(path: str, pieces: re.Pattern) -> Encoder:
+    """One encoder for each vocabulary in a process."""
+    return Encoder(path, pieces)
