@@ -32,9 +32,10 @@ from quire.llm import storage
 
 #: Graph: neighbours a node, trees, nodes a leaf, rounds of NN-descent; nodes of a part at most, by
 #: the sample's estimate; bound of the sample.
-DEGREE, TREES, LEAF, ROUNDS, PART, SAMPLE = 24, 6, 192, 2, 8192, 16384
-#: Search: nodes kept for each query, nodes visited in a round, entries, rounds at most.
-BEAM, VISITS, ENTRIES, MOST_ROUNDS = 96, 24, 8, 24
+DEGREE, TREES, LEAF, ROUNDS, PART, SAMPLE = 48, 8, 1024, 3, 8192, 16384
+#: Search: neighbours of a node that it looks at, each way; nodes kept for each query, nodes visited
+#: in a round, entries, rounds at most.
+LINKS, BEAM, VISITS, ENTRIES, MOST_ROUNDS = 24, 128, 32, 8, 24
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -331,7 +332,7 @@ def inner_product(a, b) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, links: int = LINKS, beam: int = BEAM) -> DataFrame:
     """``(query_id, rank, id, score)``: for every row that ``is_query`` (a condition on ``id``), the
     ``k`` nearest other rows found by inner product, ties by id."""
     spark = vectors.sparkSession
@@ -348,7 +349,7 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id"
 
     codes, _ = storage.write_table(nodes.select("node", "vector").mapInArrow(encode, "node long, code binary"), "codes")
     edges = build_graph(codes, total, wide, degree=degree)
-    graph, _ = storage.write_table(_adjacency(edges, codes, degree), "adjacency")
+    graph, _ = storage.write_table(_adjacency(_keep_best(edges, links), codes, links), "adjacency")
     asking = rows.where(is_query).select("id", "vector")
     by_class = asking.join(nodes.select("node", "vector"), "vector").select(F.col("id").alias("query_id"), "node")
     by_class, _ = storage.write_table(by_class, "queries")
