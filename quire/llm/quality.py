@@ -6,6 +6,9 @@ risk  ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``  with the logistic lo
 term would be negative, the step goes up that term, as published.  The class prior is estimated from
 training labels: the share of 1 among them, shrunk towards one half by two pseudo-labels.
 
+The network's logits are shifted so that 0.3, the usual threshold, falls where the prior's share of
+the unlabelled sample lies above, but no higher than ``KEPT`` of the trusted positives allow.
+
 Features are of the text alone: shares of its bytes, of byte classes in word starts and ends, and
 how far words, word pairs and lines repeat.  Fitting reads a bounded sample, ``max_positives`` and
 ``max_unlabelled`` rows with the smallest id hashes; every text is scored.
@@ -30,6 +33,8 @@ from pyspark.sql import types as T
 from quire.llm import words
 
 MAX_POSITIVES, MAX_UNLABELLED = 6000, 12000
+#: The share of trusted positives that the threshold must keep, and a margin below, in logits.
+THRESHOLD, KEPT, MARGIN = 0.3, 0.998, 0.35
 _PAIRS = words.RunHash(11)
 _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
@@ -86,12 +91,14 @@ class Model:
 
     prior: float
     weights: tuple[np.ndarray, ...] = ()
+    shift: float = 0.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        if not self.weights:
-            return np.full(len(x), self.prior)
+    def logits(self, x: np.ndarray) -> np.ndarray:
         mean, scale, w1, b1, w2, b2 = self.weights
-        return _sigmoid(np.maximum(((x - mean) / scale).clip(-8, 8) @ w1 + b1, 0) @ w2 + b2).astype(np.float64)
+        return (np.maximum(((x - mean) / scale).clip(-8, 8) @ w1 + b1, 0) @ w2 + b2).astype(np.float64)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.logits(x) + self.shift) if self.weights else np.full(len(x), self.prior)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -133,7 +140,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: i
                 a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
                 moments[i] = (a, b)
                 params[i] = params[i] - now * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-    return Model(prior, tuple(np.asarray(w, np.float32) for w in (mean, scale, *params)))
+    model = Model(prior, tuple(np.asarray(w, np.float32) for w in (mean, scale, *params)))
+    cut = min(np.quantile(model.logits(positive), 1 - KEPT), np.quantile(model.logits(unlabelled), 1 - prior))
+    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut + MARGIN)
+    return model
 
 
 def is_held_out(id_col: Column) -> Column:
