@@ -45,31 +45,36 @@ def prefix_bits(n: int) -> int:
     return min(32, max(4, (n // PER_PREFIX).bit_length()))
 
 
+def _shingle_hashes(block: words.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of a block, row after row, and how many each row has."""
+    keep = words.NOT_SPACE[block.data]
+    inner = np.setdiff1d(np.arange(len(block.starts)), block.bounds[:-1])
+    keep[block.starts[inner] - 1] = True  # one separator before each word but a row's first
+    place = np.cumsum(keep)
+    joined = np.where(words.NOT_SPACE, np.arange(256, dtype=np.uint8), np.uint8(32))[block.data[keep]].tobytes()
+    begin, end = place[block.starts] - 1, place[block.ends - 1]
+    counts = np.diff(block.bounds)
+    shingles = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    first = np.repeat(block.bounds[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(int(shingles.sum()))
+    last = first + np.repeat(np.minimum(counts, k), shingles) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first)), shingles
+
+
+def _majorities(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """For each row the bits that over half of its hashes have; 0 for rows without any."""
+    made, some = np.zeros(len(shingles), np.uint64), np.flatnonzero(shingles)
+    if len(some):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[some], axis=0, dtype=np.int32)
+        made[some] = np.packbits(2 * ones > shingles[some][:, None], axis=1).reshape(-1).view(">u8")
+    return made
+
+
 def fingerprints_of(column: pa.Array, k: int) -> np.ndarray:
     """The fingerprints of a column of texts, as unsigned 64-bit numbers."""
-    out = []
-    digest = xxhash.xxh64_intdigest
-    for block in words.blocks(column, words.NOT_SPACE, lower=True):
-        made = np.zeros(block.rows, np.uint64)
-        if len(block.starts):
-            keep = words.NOT_SPACE[block.data]
-            inner = np.setdiff1d(np.arange(len(block.starts)), block.bounds[:-1], assume_unique=False)
-            keep[block.starts[inner] - 1] = True  # one separator before each word but a row's first
-            place = np.cumsum(keep)
-            joined = np.where(words.NOT_SPACE, np.arange(256, dtype=np.uint8), np.uint8(32))[block.data[keep]].tobytes()
-            begin, end = place[block.starts] - 1, place[block.ends - 1]
-            counts = np.diff(block.bounds)
-            shingles = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-            first = np.repeat(block.bounds[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(int(shingles.sum()))
-            last = first + np.repeat(np.minimum(counts, k), shingles) - 1
-            hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
-            some = np.flatnonzero(shingles)
-            at = (np.cumsum(shingles) - shingles)[some]
-            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-            made[some] = np.packbits(2 * ones > shingles[some][:, None], axis=1).reshape(-1).view(">u8")
-        out.append(made)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    made = [_majorities(*_shingle_hashes(block, k)) for block in words.blocks(column, words.NOT_SPACE, lower=True)]
+    return np.concatenate(made) if made else np.zeros(0, np.uint64)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], text_col: str, name: str, k: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +192,108 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, distance: int = 4, id_col: s
     return marked.join(named, "simhash").select("id", "simhash", "component")
 
 
-def keep_first(docs: DataFrame, *, k: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest id.  Of rows with equal ids all stay
-    together; a row with a null id stays only if no other row of its group has an id."""
-    found = near_duplicates(docs.select(id_col, text_col), k=k, distance=distance, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+#: Long fingerprints: 64-bit parts, bits of a slice, and slices.
+PARTS, SLICE = 5, 40
+SLICES = PARTS * 64 // SLICE
+#: Long fingerprints are linked within these bits; a similarity of 0.8 is expected to differ in 48.
+LONG_DISTANCE = 52
+LONG_PER_PREFIX = 1 << 14
+
+
+def long_fingerprints_of(column: pa.Array, k: int) -> np.ndarray:
+    """Rows of PARTS unsigned 64-bit numbers, each the majority over a remix of the shingles' hashes."""
+    out = [np.zeros((0, PARTS), np.uint64)]
+    for block in words.blocks(column, words.NOT_SPACE, lower=True):
+        hashes, shingles = _shingle_hashes(block, k)
+        remixed = [hashes, *(words.mix(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(1, PARTS))]
+        out.append(np.stack([_majorities(h, shingles) for h in remixed], axis=1))
+    return np.concatenate(out)
+
+
+def slices_of(parts: np.ndarray) -> np.ndarray:
+    """The SLICES numbers of SLICE bits that long fingerprints consist of."""
+    raw = np.ascontiguousarray(parts.astype(">u8")).view(np.uint8).reshape(len(parts), SLICES, SLICE // 8)
+    wide = np.zeros((len(parts), SLICES, 8), np.uint8)
+    wide[:, :, 8 - SLICE // 8 :] = raw
+    return wide.reshape(len(parts), -1).view(">u8").astype(np.uint64)
+
+
+_PART_NAMES = [f"part{i}" for i in range(PARTS)]
+
+
+def _long_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = long_fingerprints_of(batch.column("body"), k).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), *(pa.array(made[:, i]) for i in range(PARTS))], ["id", "hash", *_PART_NAMES])
+
+
+def _spread_slices(batches: Iterator[pa.RecordBatch], radius: int, bits: int) -> Iterator[pa.RecordBatch]:
+    masks = ball_masks(bits, radius)
+    for batch in batches:
+        parts = np.stack([batch.column(c).to_numpy() for c in _PART_NAMES], axis=1).view(np.uint64)
+        names = np.repeat(batch.column("name").to_numpy(), len(masks))
+        for number, points in enumerate(slices_of(parts).T):
+            prefixes = ((points >> np.uint64(SLICE - bits))[:, None] ^ masks[None, :]).reshape(-1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(prefixes + (number << 48)), pa.array(names), pa.array(np.repeat(points, len(masks)).view(np.int64))], ["prefix", "name", "point"])
+
+
+def _colliding_pairs(prefix: int, table: pa.Table, radius: int, bits: int) -> pa.Table:
+    """Pairs of names that share a variant: each with the next three there, and with the first."""
+    order = np.argsort(table.column("name").to_numpy())
+    names, points = table.column("name").to_numpy()[order], table.column("point").to_numpy().view(np.uint64)[order]
+    apart = (points >> np.uint64(SLICE - bits)) ^ np.uint64(prefix % (1 << 48))
+    left = radius - np.bitwise_count(apart).astype(np.int64)
+    found = [np.zeros(0, np.int64)]
+    n = np.int64(len(names))
+    for index, variants in _pieces(points, left, SLICE - bits):
+        order = np.lexsort((index, variants))
+        index, variants = index[order], variants[order]
+        met = [index[i] * n + index[j] for step in (1, 2, 3) for i in [np.flatnonzero(variants[step:] == variants[:-step])] for j in [i + step]]
+        new = np.ones(len(variants), dtype=bool)
+        new[1:] = variants[1:] != variants[:-1]
+        first = index[np.flatnonzero(new)][np.cumsum(new) - 1]
+        met.append((first * n + index)[first != index])
+        found.append(np.unique(np.concatenate(met)))
+    pairs = np.unique(np.concatenate(found))
+    return pa.table({"u": pa.array(names[pairs // max(n, 1)]), "v": pa.array(names[pairs % max(n, 1)])})
+
+
+def similar_groups(docs: DataFrame, *, k: int = 5, distance: int = LONG_DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, hash, part0, .., component)``: groups of texts whose shingles are similar to 0.8 or more, as
+    long fingerprints tell it.
+
+    At a similarity of 0.8 single fingerprints differ in ten bits on average, more than balls of a
+    feasible radius bridge.  So a fingerprint of 320 bits is cut into 8 slices of 40.  Slices meet by
+    ball hashing (4 bits or fewer differ), and a pair that meets in any slice is verified on all 320:
+    linked at ``distance`` bits or fewer.  Most pairs at a similarity of 0.8 and
+    all at 0.9 are linked, some at 0.7, none at 0.5.  On a crowded variant
+    pairs are taken along a chain and from its first member, never all of them."""
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("body"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("hash", T.LongType()), *(T.StructField(c, T.LongType()) for c in _PART_NAMES)])
+    marked, _ = storage.write_table(source.mapInArrow(partial(_long_batches, k=k), schema), "simhash")
+    classes, _ = storage.write_table(marked.groupBy(*_PART_NAMES).agg(F.min("id").alias("least")).withColumn("name", F.xxhash64(*_PART_NAMES)), "simhash")
+    bits = min(16, max(2, (classes.count() // LONG_PER_PREFIX).bit_length()))
+    radius = 2
+    spread = classes.mapInArrow(partial(_spread_slices, radius=radius, bits=bits), "prefix long, name long, point long")
+
+    def collide(key, table):
+        return _colliding_pairs(key[0].as_py(), table, radius, bits)
+
+    pairs = spread.groupBy("prefix").applyInArrow(collide, "u long, v long").distinct()
+    for end in ("u", "v"):
+        side = classes.select(F.col("name").alias(end), F.array(*_PART_NAMES).alias(f"{end}_parts"))
+        pairs = pairs.join(side, end)
+    apart = sum((F.bit_count(F.col("u_parts")[i].bitwiseXOR(F.col("v_parts")[i])) for i in range(1, PARTS)), F.bit_count(F.col("u_parts")[0].bitwiseXOR(F.col("v_parts")[0])))
+    components = connected_components(pairs.where(apart <= distance).select("u", "v"))
+    joined = classes.join(components.select(F.col("node").alias("name"), F.col("component").alias("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    return marked.join(joined.join(least, "root").select(*_PART_NAMES, "component"), _PART_NAMES)
+
+
+def keep_first(docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of ``similar_groups``: the one with the smallest id.  Rows with one
+    id stay or go as their texts do; a null id gives way to any other, and stays if its group has
+    no other."""
+    found = similar_groups(docs.select(id_col, text_col), k=k, id_col=id_col, text_col=text_col)
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
