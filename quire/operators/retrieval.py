@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.operators import lines as L
+from quire.operators.flow import NO_TEXT
 
 _CHUNKS = "array<struct<text:string,tokens:int>>"
 
@@ -37,6 +39,42 @@ def chunk_documents(docs: DataFrame, *, target: int = 120, id_col: str = "doc_id
     return made.select("doc_id", "chunk_no", "c.text", "c.tokens")
 
 
+def chunk_lines(lines: DataFrame, *, target: int = 120) -> DataFrame:
+    """``(doc_id, chunk_no, text, tokens, spans)``: lines packed like paragraphs, with the place on its
+    page of each line that has one."""
+    clean = lines.select("*", text.strip(F.col("text")).alias("_text")).where("_text <> ''")
+    row = F.struct("line_no", F.col("_text").alias("part"), F.size(text.tokens(F.col("_text"))).alias("size"), L.provenance({c: F.col(c) for c in lines.columns}).alias("span"))
+    grouped = clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("chunks"))
+
+    def add(state, item):
+        total = state["sum"] + item["size"]
+        full = total >= target
+        return F.struct(F.when(full, 0).otherwise(total).alias("sum"), (state["chunk"] + full.cast("int")).alias("chunk"), F.concat(state["chunks"], F.array(state["chunk"])).alias("chunks"))
+
+    dealt = grouped.withColumn("chunks", F.aggregate("rows", start, add, lambda s: s["chunks"]))
+    each = dealt.select("doc_id", F.explode(F.arrays_zip("chunks", "rows")).alias("z")).select("doc_id", F.col("z.chunks").alias("chunk_no"), "z.rows.*")
+    made = each.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "part", "span"))).alias("r"), F.sum("size").cast("int").alias("tokens"))
+    spans = F.filter(F.transform("r", lambda x: x["span"]), lambda x: x.isNotNull())
+    return made.select("doc_id", "chunk_no", F.array_join(F.transform("r", lambda x: x["part"]), "\n").alias("text"), "tokens", spans.alias("spans"))
+
+
+def read_result(docs: DataFrame) -> DataFrame:
+    """Documents without a template: ``(doc_id, chunk_count, keywords, key_sentences, reasons)``.
+    ``docs`` has ``missing_pages`` and ``low_form_pages``, arrays or null."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]"))
+    missing = F.concat(F.lit("incomplete conversion: "), F.size("missing_pages").cast("string"), F.lit(" page(s) never produced (routed to human review): pages "), listed("missing_pages"))
+    low = F.concat(F.lit("low-form pages (layout below threshold, structure not confidently recovered): pages "), listed("low_form_pages"))
+    blank = F.coalesce(text.strip(F.col("text")), F.lit("")) == ""
+    reasons = F.array_compact(F.array(F.when(blank, NO_TEXT), F.when(F.size("missing_pages") > 0, missing), F.when(F.size("low_form_pages") > 0, low)))
+    counts = chunk_documents(docs).groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    words = keywords(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda k: k["term"]).alias("keywords"))
+    best = key_sentences(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sentence_no", "sentence"))), lambda s: s["sentence"]).alias("key_sentences"))
+    none = F.array().cast("array<string>")
+    joined = docs.select("doc_id", reasons.alias("reasons")).join(counts, "doc_id", "left").join(words, "doc_id", "left").join(best, "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("keywords", none).alias("keywords"), F.coalesce("key_sentences", none).alias("key_sentences"), "reasons")
+
+
 def segment_articles(lines: DataFrame, *, max_tokens: int = 400) -> DataFrame:
     """``(doc_id, article_no, heading, chunk_no, text, tokens)`` of documents with two headings or
     more, articles in order of first appearance, each id's longest occurrence kept (a table of

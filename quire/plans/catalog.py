@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text, values
 from quire.functions import mrz as M
-from quire.operators import checks, conversion, drafting, extract, flow, retrieval, store
+from quire.operators import checks, conversion, drafting, extract, flow, growth, retrieval, store
 from quire.operators import lines as L
 from quire.operators import match
 from quire.sources import tables as S
@@ -660,3 +660,66 @@ def validated_attestations(spark: SparkSession, folder: str) -> DataFrame:
     schema = "template_id string, roles struct<holder_field:string,issue_date_field:string,expiry_date_field:string>"
     templates = spark.createDataFrame([("O", ("who", "from", "to")), ("F", ("who", "from", ""))], schema)
     return flow.attestations(jobs, templates).select("job_id", "holder_name")
+
+
+@query(f"""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 'job #' || o_orderkey || ' (src): no retained document' WHEN o_orderkey % 5 = 0 THEN 'job #' || o_orderkey || ' (src): no extractable text (image-only; arm --draft-ocr to OCR it)' END AS skip_reason
+FROM orders WHERE o_orderkey % 6 = 2 AND o_orderkey % 7 <> 0 AND o_orderstatus <> 'F'""")
+def readable_unknowns(spark: SparkSession, folder: str) -> DataFrame:
+    """Waiting jobs that could teach a template."""
+    key, jobs = F.col("job_id"), _jobs(spark, folder)
+    jobs = jobs.withColumns({"source": F.lit("src"), "text": F.when(key % 5 == 0, " ").otherwise("words"), "template_id": F.when(key % 7 == 0, "t"), "category_lane": F.when(F.col("category") == "F", "ci").otherwise("rag")})
+    return growth.readable_unknowns(jobs).select("job_id", "skip_reason")
+
+
+@query("""SELECT l_suppkey AS cluster FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY l_suppkey HAVING bool_or(l_orderkey % 301 = 0)""")
+def already_staged(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters that have a suggestion already."""
+    reviews = _reviews(spark, folder).withColumn("suggestion_status", F.when(F.col("job_id") % 301 == 0, "pending"))
+    clusters = S.table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("cluster"), F.col("l_orderkey").alias("job_id")).distinct()
+    return growth.already_staged(clusters, reviews)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN CASE doc_id % 4 WHEN 0 THEN 'lic_apache' WHEN 1 THEN 'lic_gpl' ELSE 'lic_any' END END AS template_id,
+ doc_id % 4 <> 3 AND contains(lower(text), 'license') AS tried, doc_id % 4 <> 3 AND contains(lower(text), 'license') AND doc_id % 3 = 0 AND doc_id % 2 = 0 AS verified FROM documents""")
+def suggestion_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """A proposed template, held against the list, the text and its own checks."""
+    key = F.col("doc_id")
+    proposed = F.when(key % 4 == 0, "lic_apache").when(key % 4 == 1, "lic_gpl").when(key % 4 == 2, "lic_any").otherwise("UNKNOWN")
+    reasons = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("version: required (presence) but not read")))
+    gate = growth.suggestion(proposed, F.array(F.lit(" LICENSE "), F.lit(""), F.lit("not there")), F.array(*(F.lit(t["template_id"]) for t in TEMPLATES)), F.col("text"), key % 2 == 0, reasons)
+    return S.table(spark, folder, "documents").select("doc_id", gate.alias("g")).select("doc_id", "g.template_id", "g.tried", "g.verified")
+
+
+@query("""SELECT o_orderkey AS job_id, CAST(row_number() OVER (ORDER BY CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END, o_orderkey) AS INTEGER) AS turn FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 5 IN (0, 1, 2)""")
+def drain_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The order in which a nightly pass takes jobs (ST3)."""
+    lane = F.when(F.col("job_id") % 5 == 0, "escalation").when(F.col("job_id") % 5 == 1, "deferred").when(F.col("job_id") % 5 == 2, "nightly").otherwise("other")
+    return growth.drain_order(_jobs(spark, folder).withColumn("execution_lane", lane), nightly=True).select("job_id", "turn")
+
+
+@query(f"""WITH RECURSIVE {_RAW_CHUNKS} SELECT doc_id, chunk_no, tokens, paragraphs AS lines FROM chunks""")
+def chunk_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines packed into chunks that keep their places."""
+    lines = L.text_lines(S.table(spark, folder, "documents")).withColumns({"page_width": F.lit(1000.0), "page_height": F.lit(5000.0)})
+    return retrieval.chunk_lines(lines).select("doc_id", "chunk_no", "tokens", F.size("spans").alias("lines"))
+
+
+@query()
+def model_references(spark: SparkSession, folder: str) -> DataFrame:
+    """References out of cut and padded model replies (F25, F26); tested on literal replies."""
+    key = F.col("o_orderkey").cast("string")
+    reply = F.concat(F.lit('Voici: [{"relation": "modifie", "ancien": "Article '), key, F.lit('", "nouveau": null}, {"relation": "RENVOIE", "ancien": "Annexe {'), key, F.lit('}"}, {"relation": "REMPLACE", "anc'))
+    made = S.table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(growth.references(reply)).alias("r"))
+    return made.select("doc_id", "r.*")
+
+
+@query()
+def draft_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates drafted from customers' orders laid out as label lines."""
+    o = S.table(spark, folder, "orders").where("o_custkey % 10 = 1")
+    body = F.concat_ws("\n", F.lit("Bon de commande standard"), F.concat(F.lit("Montant total : "), F.col("o_totalprice").cast("string")), F.lit("Statut"), F.concat(F.lit("code "), F.col("o_orderkey").cast("string")))
+    clusters = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("cluster"))
+    categories = drafting.cluster_category(clusters.withColumn("category", F.lit("commande"))).select("cluster", "category")
+    taken = spark.createDataFrame([("draft_commande_01",)], "template_id string")
+    made = growth.draft_templates(L.text_lines(o.select(F.col("o_orderkey").alias("doc_id"), body.alias("text"))), clusters, categories, taken)
+    return made.select("cluster", "template_id", "category", F.array_join("anchors", "|").alias("anchors"), F.array_join("fields", "|").alias("fields"))

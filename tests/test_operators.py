@@ -265,3 +265,59 @@ def test_better_read_is_lazy(spark):
     reads = [(1, 0, {"a": False}), (1, 1, {"a": True}), (1, 2, {"a": True, "b": True}), (2, 0, {"a": False, "b": True}), (2, 1, {"a": True, "b": False})]
     df = spark.createDataFrame(reads, "doc_id long, tier int, checks map<string,boolean>")
     assert {r["doc_id"]: r["tier"] for r in flow.better_read(df).collect()} == {1: 1, 2: 0}
+
+
+def test_replies_are_salvaged():
+    from quire.operators import growth
+
+    cut = 'ok ```[{"relation":"modifie","ancien":" Article 2 ","nouveau":""}, {"a": "}{"}, {bad}, {"relation":"RENVOIE","ancien":"Annexe \\"4\\"","nouveau":"x"}, {"relation":"ABRO'
+    assert [growth.reference_of(x) for x in growth.complete_objects(cut)] == [{"relation": "MODIFIE", "ancien": "Article 2", "nouveau": None}, None, {"relation": "RENVOIE", "ancien": 'Annexe "4"', "nouveau": "x"}]
+    assert growth.complete_objects("no array") is None and growth.complete_objects("[] [{}]") == []
+    assert growth.reference_of({"relation": "MODIFIE", "ancien": "x" * 161}) is None and growth.reference_of({"relation": "MODIFIE", "ancien": 4}) is None
+    assert growth.reference_of({"relation": "MODIFIE", "ancien": "a", "nouveau": "x" * 161})["nouveau"] is None
+
+
+def test_reviewers_tick_only_what_is_offered():
+    from quire.operators import growth
+
+    draft = {"template_id": "d", "fields": [{"name": "a"}, {"name": "b"}, {"name": "c"}], "validation": {"required": [{"field": "a", "check": "present"}]}}
+    made = growth.curate(draft, [{"field": "a", "check": "present", "severity": "reject"}], {"holder_field": "a", "issue_date_field": "b", "expiry_date_field": "c"})
+    assert made["validation"]["required"][0]["severity"] == "reject" and made["attestation_reference_roles"]["holder_field"] == "a"
+    for required, roles in (([{"field": "b", "check": "present"}], None), ([{"field": "a", "check": "present", "severity": "x"}], None), (None, {"holder_field": "a"}), (None, {"holder_field": "z", "issue_date_field": "b", "expiry_date_field": "c"})):
+        with pytest.raises(ValueError):
+            growth.curate(draft, required, roles)
+    names = growth.renamed(draft, {"a": "Nom", "b": "nom", "c": ""}, lambda s: s.lower())
+    assert [f["name"] for f in names["fields"]] == ["nom", "b", "c"] and names["validation"]["required"] == [{"field": "nom", "check": "present"}]
+    assert growth.variant(draft | {"category": "k"}, "v", ["x"])["match"] == {"all_anchors": ["x"]}
+
+
+def test_drafts_keep_varying_fields_and_no_values(spark):
+    from quire.operators import growth
+
+    docs = spark.createDataFrame([(i, f"Attestation de formation\nNom : P{i}\nVille : Paris\nDate de delivrance\n0{i}/01/2024") for i in (1, 2, 3)] + [(9, "seul")], "doc_id long, text string")
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (9, 9)], "doc_id long, cluster long")
+    categories = spark.createDataFrame([(1, "attestation"), (9, "x")], "cluster long, category string")
+    taken = spark.createDataFrame([("draft_attestation_01",)], "template_id string")
+    made = growth.draft_templates(L.text_lines(docs), clusters, categories, taken).collect()
+    assert [(r["cluster"], r["template_id"]) for r in made] == [(1, "draft_attestation_02")]
+    assert made[0]["anchors"] == ["Attestation de formation", "Date de delivrance", "Ville : Paris"]
+    assert [f for f in made[0]["fields"] if "pattern" in f] == ['{"name":"nom","pattern":"Nom\\\\s*:\\\\s*([^\\\\n]+)"}']
+    assert any('"anchor":"Date de delivrance","direction":"below"' in f for f in made[0]["fields"])
+
+
+def test_promotion_writes_both_tables(spark):
+    from quire.operators import growth
+
+    templates = spark.createDataFrame([("a", "x", False, 3, "t0")], "template_id string, category string, active boolean, version int, created_at string")
+    reviews = spark.createDataFrame([(1, "pending"), (2, "pending")], "review_id long, suggestion_status string")
+    curated = spark.createDataFrame([("a", "y", "t1"), ("b", "z", "t1")], "template_id string, category string, created_at string")
+    after, closed = growth.promote(templates, reviews, 2, curated)
+    assert sorted(map(tuple, after.collect())) == [("a", "y", True, 4, "t0"), ("b", "z", True, 1, "t1")]
+    assert sorted(map(tuple, closed.collect())) == [(1, "pending"), (2, "validated")]
+
+
+def test_unmatched_documents_are_summarised(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta. Alpha gamma! Delta?", [3], None), (2, "  ", None, [1, 2])], "doc_id long, text string, missing_pages array<int>, low_form_pages array<int>")
+    made = {r["doc_id"]: r for r in retrieval.read_result(docs).collect()}
+    assert made[1]["keywords"][0] == "alpha" and made[1]["chunk_count"] == 1 and "pages [3]" in made[1]["reasons"][0]
+    assert made[2]["chunk_count"] == 0 and len(made[2]["reasons"]) == 2
