@@ -18,7 +18,7 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 def test_pieces_give_the_ids_of_whole_texts(path, pieces, real_docs, edge_docs, monkeypatch):
     rnd = random.Random(6)
     texts = [r["text"] or "" for r in real_docs.limit(60).union(edge_docs).collect()]
-    texts += ["".join(rnd.choice(" \t\n\r\x0b\x1c\x85\xa0 ab1!'<é́日sS.,") for _ in range(rnd.randrange(40))) for _ in range(1500)]
+    texts += ["".join(rnd.choice(" \t\n\r\x0b\x1c\x85\xa0 ab1!'<é́日sS.,") for _ in range(rnd.randrange(40))) for _ in range(4000)]
     texts += ["<|endoftext|> a <|endoftext|>b", "don't  we'll 'tis", "a.. ,b, c.", "x\0y ", "İ ſ ΣΑΣ. Σας,", "3.14,15 ", " .5", "a ,b"]
     whole = Tokenizer.from_file(path)
     monkeypatch.setattr(tokens, "GENERATION", 500)
