@@ -22,6 +22,11 @@ MOVES = {
 }
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need timestamps with a zone; ones without are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def step(status: str, attempts: int, event: str) -> tuple[str, int]:
     """The next state; an event that has no meaning in a state changes nothing."""
     after = MOVES.get((status, event), status)
@@ -53,17 +58,17 @@ def track_jobs(events: DataFrame, *, lease: str = "30 minutes", max_attempts: in
             state.setTimeoutTimestamp(max(at + lease_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["job_id", "status", "attempts", "ts"])
 
-    return events.withWatermark("ts", "1 minute").groupBy("job_id").applyInPandasWithState(run, "job_id long, status string, attempts int, ts timestamp", "status string, attempts int, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _timed(events).withWatermark("ts", "1 minute").groupBy("job_id").applyInPandasWithState(run, "job_id long, status string, attempts int, ts timestamp", "status string, attempts int, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_requests(events: DataFrame, *, within: str = "1 day") -> DataFrame:
     """One event for each request that repeats within a day of event time."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["request_id"])
+    return _timed(events).withWatermark("ts", within).dropDuplicatesWithinWatermark(["request_id"])
 
 
 def activity(events: DataFrame, window, *, late: str = "1 hour") -> DataFrame:
     """Counts and sums by window and event type; ``window`` is ``F.window`` or ``F.session_window``."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = _timed(events).withWatermark("ts", late) if events.isStreaming else events
     return source.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -71,7 +76,7 @@ def concurrency(starts: DataFrame, limit: int) -> DataFrame:
     """``admitted`` for calls ``(call_id, start, end)``: while ``limit`` calls that were admitted
     earlier still run, a call is not.  Calls are taken in order of start, by host."""
 
-    def admit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def admit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         running, out = [], []
         for call, start, end in pdf.sort_values(["start", "call_id"])[["call_id", "start", "end"]].itertuples(index=False):
             running = [e for e in running if e > start]
