@@ -8,17 +8,17 @@ that settle its place and name: wherever those words occur, it occurs.
 
 A window of ``width`` words stands under the smallest-hashed symbol of the highest level whose
 context lies within the window, keyed by the words of that context (by its own words, should no
-symbol fit, as in long runs).  Equal windows stand under equal keys, and only about one word in six starts
-a new key.  So the work is:
+symbol fit, as in long runs).  Equal windows stand under equal keys, and about one word in four starts a
+new key.  So the work is:
 
 1. documents are dealt into cells of about ``CELL_BYTES``; each cell sends its distinct keys, which
    meet by hash: keys of two documents or more come back to their cells;
-2. each cell sends the windows under those keys, once each, as 128-bit hashes with the smallest id
+2. each cell sends the windows under those keys, once each, as 96-bit hashes with the smallest id
    that holds them; for equal windows the smallest id overall comes back to cells that hold a larger;
 3. each cell removes the words of windows that start in a document with a smaller id.
 
 Keys and windows travel as packed arrays, one row for each pair of cell and bucket, so a passage in
-a third of all documents is one entry a cell.  Equal 128-bit hashes stand for equal windows.
+a third of all documents is one entry a cell.  Equal 96-bit hashes stand for equal windows.
 
 Defined results: null and empty texts have no words; documents with fewer words than a window are
 whole; equal ids are not smaller than one another; a null id is larger than all others; an empty
@@ -181,9 +181,9 @@ def _meet_keys(table: pa.Table) -> pa.Table:
 
 
 def _windows(block: words.Block, first: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window."""
+    """Two independent hashes of each window, of 64 and 32 bits."""
     a, b = _WINDOW.prefix(names), _CHECK.prefix(words.word_hashes(block, 1))
-    return _WINDOW.between(a, first, first + width), _CHECK.between(b, first, first + width)
+    return _WINDOW.between(a, first, first + width), (_CHECK.between(b, first, first + width) >> np.uint64(32)).astype(np.uint32)
 
 
 def _send_windows(table: pa.Table, marks: pa.Table, width: int, cells: int) -> pa.Table:
@@ -196,7 +196,7 @@ def _send_windows(table: pa.Table, marks: pa.Table, width: int, cells: int) -> p
             one, two = _windows(block, first, names, width)
             found.append((one, two, ids[np.searchsorted(block.bounds, first, side="right") - 1 + block.first]))
     if not found:
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
     one, two, owner = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((owner, two, one))
     one, two, owner = one[order], two[order], owner[order]
@@ -215,7 +215,7 @@ def _starts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 def _meet_windows(table: pa.Table) -> pa.Table:
     """The smallest id of each window, for the cells that hold a larger one."""
-    one, two, owner = _joined(table, "one", np.uint64), _joined(table, "two", np.uint64), _joined(table, "owner", np.int64)
+    one, two, owner = _joined(table, "one", np.uint64), _joined(table, "two", np.uint32), _joined(table, "owner", np.int64)
     several = _joined(table, "several", np.uint8).astype(bool)
     cell = table.column("cell").to_numpy()[_rows_of(table, "one", np.uint64)]
     order = np.lexsort((owner, two, one))
@@ -233,7 +233,7 @@ def _meet_windows(table: pa.Table) -> pa.Table:
 
 def _remove(table: pa.Table, marks: pa.Table, width: int) -> pa.Table:
     ids = _ids(table)
-    one, two, least = _joined(marks, "one", np.uint64), _joined(marks, "two", np.uint64), _joined(marks, "owner", np.int64)
+    one, two, least = _joined(marks, "one", np.uint64), _joined(marks, "two", np.uint32), _joined(marks, "owner", np.int64)
     order = np.argsort(one, kind="stable")
     one, two, least = one[order], two[order], least[order]
     n_words, n_removed, bodies = [], [], []
