@@ -31,3 +31,67 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir, edge_docs, no_docs):
             else:
                 assert out.columns == docs.columns and out.exceptAll(docs.withColumn("text", F.col("text"))).count() <= docs.count(), name
                 assert out.count() <= docs.count(), name
+
+
+def test_stages_match_plain_versions(spark, sf_dir):
+    """Each stage on what the stage before kept, held against a plain version of its rule."""
+    import re
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from test_text_operators import plain_line_dedup
+    from tokenizers import Tokenizer
+
+    from quire.llm import quality, simhash
+
+    kept = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+
+    model = quality.train(kept, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    before = rows(kept)
+    kept, _ = storage.write_table(stages["quality_classifier"](spark, kept, sf_dir), "plain")
+    scores = model.scores(quality.features_of(pa.array([t for _, t in before])))
+    assert rows(kept) == [r for r, s in zip(before, scores, strict=True) if s >= 0.3]
+
+    before = rows(kept)
+    kept, _ = storage.write_table(stages["line_dedup"](spark, kept, sf_dir), "plain")
+    assert rows(kept) == [(i, t) for (i, _), t in zip(before, plain_line_dedup(before), strict=True)]
+
+    before = rows(kept)
+    kept, _ = storage.write_table(stages["simhash_near_dedup"](spark, kept, sf_dir), "plain")
+    parts = simhash.long_fingerprints_of(pa.array([t for _, t in before]), 5)
+    slices = simhash.slices_of(parts)
+    near = (np.bitwise_count(slices[:, None] ^ slices[None]) <= 4).any(axis=2) & (np.bitwise_count(parts[:, None] ^ parts[None]).sum(axis=2, dtype=int) <= simhash.LONG_DISTANCE)
+    label = np.arange(len(before))
+    while (new := np.array([label[n].min() for n in near])).tolist() != label.tolist():
+        label = new
+    assert rows(kept) == [r for i, r in enumerate(before) if label[i] == i]
+
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    windows = set()
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        words = split(r["text"])
+        windows |= {tuple(words[i : i + 13]) for i in range(max(len(words) - 12, 1))} if words else set()
+    widths = {len(w) for w in windows}
+    before, clean = rows(kept), []
+    for i, t in before:
+        words = split(t)
+        hit = {p for n in widths for at in range(len(words) - n + 1) if tuple(words[at : at + n]) in windows for p in range(at, at + n)}
+        if not hit or 20 * len(hit) < len(words):
+            clean.append((i, t))
+    kept, _ = storage.write_table(stages["benchmark_decontamination"](spark, kept, sf_dir), "plain")
+    assert rows(kept) == clean
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = stages["best_fit_packing"](spark, kept, sf_dir).collect()
+    sizes = {}
+    for r in packed:
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+    assert sizes == {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean}
+    used = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) + 1
