@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +133,49 @@ def search(queries: DataFrame, idf: DataFrame, weights: DataFrame, key: list[str
     return ranked.where(F.col("rank") <= k)
 
 
+def dense_search(vectors: DataFrame, is_query: Column, *, k: int = 10, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``(query_id, vec_id, rank, score)``: for each row that ``is_query``, the ``k`` other rows with the
+    best product of unit vectors, ties by id.  Exact: queries go over all rows in blocks of ``block``,
+    and each batch of rows sends on only its best ``k`` for each query."""
+    asked = vectors.where(is_query).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v IS NOT NULL")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("v IS NOT NULL")
+    found, queries = None, []
+
+    def scan(queries: list) -> DataFrame:
+        ids, matrix = np.array([q["id"] for q in queries], np.int64), _unit_rows([q["v"] for q in queries])
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                own = batch["vec_id"].to_numpy()
+                scores = matrix @ _unit_rows(batch["v"].tolist()).T
+                scores[ids[:, None] == own[None, :]] = -np.inf
+                for q, line in zip(ids, scores, strict=True):
+                    top = np.lexsort((own, -np.round(line, 9)))[:k]
+                    top = top[np.isfinite(line[top])]
+                    yield pd.DataFrame({"query_id": q, "vec_id": own[top], "score": line[top]})
+
+        if not queries:
+            return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+        return rows.mapInPandas(best, "query_id long, vec_id long, score double")
+
+    for query in asked.toLocalIterator():
+        queries.append(query)
+        if len(queries) == block:
+            found, queries = scan(queries) if found is None else found.unionByName(scan(queries)), []
+    if queries or found is None:
+        found = scan(queries) if found is None else found.unionByName(scan(queries))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+
+
+def _unit_rows(rows: list) -> np.ndarray:
+    if not rows:
+        return np.zeros((0, 0))
+    made = np.array(rows, np.float64)
+    norm = np.linalg.norm(made, axis=1, keepdims=True)
+    return made / np.where(norm == 0, 1, norm)
+
+
 def keywords(docs: DataFrame, *, k: int = 8) -> DataFrame:
     """``(doc_id, rank, term, n)``: the most frequent content words, earlier ones first on a tie."""
     each = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "term"))

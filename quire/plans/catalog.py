@@ -106,15 +106,15 @@ def sentences_top3(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT doc_id, regexp_replace(upper(replace(strip_accents(text[:200]), 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS strict, regexp_replace(lower(text[:200]), '[^a-z0-9]', '', 'g') AS matched,
-  trim(regexp_replace(lower(strip_accents(text[:200])), '\\s+', ' ', 'g')) AS heading FROM documents""")
+@query("""SELECT doc_id, regexp_replace(upper(replace(strip_accents(text), 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS strict, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS matched,
+  trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS heading FROM documents""")
 def text_folds(spark: SparkSession, folder: str) -> DataFrame:
-    """Three folds of how each document begins (P1, P4, F4); the beginning is what a heading is."""
-    head = F.substring("text", 1, 200)
+    """Three folds of whole texts."""
+    head = F.col("text")
     return S.table(spark, folder, "documents").select("doc_id", text.strict_key(head).alias("strict"), text.match_key(head).alias("matched"), text.heading_key(head).alias("heading"))
 
 
-_GARBLED = "CASE WHEN doc_id % 11 = 0 THEN 'abc' || chr(65533) || 'def' WHEN doc_id % 7 = 0 THEN 'Ã©tÃ©' WHEN doc_id % 5 = 0 THEN 'Ã©tÃ— œ' ELSE text[:50] END"
+_GARBLED = "CASE WHEN doc_id % 11 = 0 THEN 'abc' || chr(65533) || 'def' WHEN doc_id % 7 = 0 THEN 'Ã©tÃ©' WHEN doc_id % 5 = 0 THEN 'Ã©tÃ— œ' ELSE text END"
 
 
 @query(f"""WITH g AS (SELECT doc_id, {_GARBLED} AS t FROM documents)
@@ -123,7 +123,7 @@ SELECT doc_id, CAST(length(t) - length(replace(t, chr(65533), '')) AS INTEGER) A
 def integrity_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Damaged characters, injected by document number."""
     key, docs = F.col("doc_id"), S.table(spark, folder, "documents")
-    t = F.when(key % 11 == 0, F.lit("abc�def")).when(key % 7 == 0, F.lit("Ã©tÃ©")).when(key % 5 == 0, F.lit("Ã©tÃ— œ")).otherwise(F.substring("text", 1, 50))
+    t = F.when(key % 11 == 0, F.lit("abc�def")).when(key % 7 == 0, F.lit("Ã©tÃ©")).when(key % 5 == 0, F.lit("Ã©tÃ— œ")).otherwise(F.col("text"))
     return docs.select("doc_id", text.integrity(t).alias("i")).select("doc_id", "i.*")
 
 
@@ -470,21 +470,18 @@ def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.search(asked, idf, weights, ["doc_id"]).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS q, embedding AS a FROM embeddings WHERE label = 0 AND vec_id IN (SELECT min(vec_id) FROM embeddings WHERE label = 0)),
-s AS (SELECT vec_id, list_dot_product(CAST(a AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
-SELECT vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+@query("""WITH s AS (SELECT x.vec_id AS query_id, y.vec_id, list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) * list_dot_product(CAST(y.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS score
+ FROM embeddings x JOIN embeddings y ON x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten vectors nearest to one, by normalised product."""
-    vectors = S.table(spark, folder, "embeddings")
-    one = vectors.where("label = 0").groupBy().agg(F.min_by("embedding", "vec_id").alias("a"))
-    scored = vectors.join(F.broadcast(one)).select("vec_id", values.dot(values.l2_normalised(F.col("embedding")), values.l2_normalised(F.col("a"))).alias("score"))
-    top = scored.orderBy(F.desc(F.round("score", 9)), "vec_id").limit(10)
-    return top.select("vec_id", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "vec_id")).alias("rank"), F.round("score", 6).alias("score"))
+    """The ten vectors nearest to each query, by normalised product."""
+    found = retrieval.dense_search(S.table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _contract_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Per order: a table of contents, then articles with bodies of their line items."""
-    item = S.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), F.col("l_returnflag").alias("flag")).where("doc_id % 5 = 0")
+    item = S.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), F.col("l_returnflag").alias("flag"))
     item = item.groupBy("doc_id", "k").agg(F.min("flag").alias("flag"))
     head = F.concat(F.lit("Article "), F.col("k").cast("string"), F.lit(" Title "), "flag")
     body = F.concat(F.repeat(F.lit("goods delivered promptly "), 2), "flag")
@@ -492,7 +489,7 @@ def _contract_lines(spark: SparkSession, folder: str) -> DataFrame:
     return item.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
-@query("""WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, min(l_returnflag) AS flag FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL)
+@query("""WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS article_no, 'Article ' || k || ' Title ' || flag AS heading, 0 AS chunk_no, 8 AS tokens FROM i""")
 def article_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Contracts cut at their articles, the table of contents folded away."""
@@ -513,17 +510,17 @@ def ref_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _unknown(spark: SparkSession, folder: str) -> DataFrame:
-    return S.table(spark, folder, "documents").where("lang = 'fr'").select("doc_id", "text")
+    return S.table(spark, folder, "documents").select("doc_id", "text")
 
 
-_SIMILAR = f"""{_TOKENS.replace("FROM documents)", "FROM documents WHERE lang = 'fr')")}, tf AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY doc_id, term),
-idf AS (SELECT term, ln(((SELECT count(*) FROM documents WHERE lang = 'fr') + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term), w AS (SELECT doc_id, term, n * idf AS w FROM tf JOIN idf USING (term)),
+_SIMILAR = f"""{_TOKENS}, tf AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY doc_id, term),
+idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term), w AS (SELECT doc_id, term, n * idf AS w FROM tf JOIN idf USING (term)),
 u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w), sim AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS score FROM u x JOIN u y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL)"""
 
 
 @query(f"WITH {_SIMILAR} SELECT a, b, round(score, 6) AS score FROM sim WHERE score >= 0.5")
 def pairwise_sim(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of one language that read alike."""
+    """Documents that read alike."""
     return drafting.pairwise_similarity(_unknown(spark, folder), least=0.5).withColumn("score", F.round("score", 6))
 
 
@@ -716,7 +713,7 @@ def model_references(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def draft_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Templates drafted from customers' orders laid out as label lines."""
-    o = S.table(spark, folder, "orders").where("o_custkey % 10 = 1")
+    o = S.table(spark, folder, "orders")
     body = F.concat_ws("\n", F.lit("Bon de commande standard"), F.concat(F.lit("Montant total : "), F.col("o_totalprice").cast("string")), F.lit("Statut"), F.concat(F.lit("code "), F.col("o_orderkey").cast("string")))
     clusters = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("cluster"))
     categories = drafting.cluster_category(clusters.withColumn("category", F.lit("commande"))).select("cluster", "category")

@@ -10,11 +10,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows in an Arrow batch, unless the session names a number: rows hold whole texts.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors' Python workers, once for each application.
+    """Sends the package to the executors' Python workers, once for each application, and keeps Arrow
+    batches small.
 
-    Spark's file server delivers it, so workers need not find it on a path of their own."""
-    context = spark.sparkContext
+    Spark's file server delivers the package, so workers need not find it on a path of their own."""
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's default
+        spark.conf.set(rows, BATCH_ROWS)
     if getattr(context, "_quire_shipped", False):
         return
     root = Path(__file__).resolve().parent
