@@ -193,7 +193,7 @@ def drain_order(jobs: DataFrame, *, nightly: bool = False) -> DataFrame:
     """Received jobs as a pass takes them: lane by lane, oldest first; the night's lane only at night."""
     lanes = ["escalation", "deferred", *(["nightly"] if nightly else [])]
     lane = F.array_position(F.array(*map(F.lit, lanes)), F.col("execution_lane"))
-    return jobs.where((F.col("status") == "received") & (lane > 0)).withColumn("turn", F.row_number().over(Window.orderBy(lane, "job_id")))
+    return jobs.where((F.col("status") == "received") & (lane > 0)).withColumn("lane_no", lane.cast("int")).orderBy("lane_no", "job_id")
 
 
 def watch(events: DataFrame, handle: Callable[[DataFrame, object, int], None], read_context: Callable[[], object], **options):

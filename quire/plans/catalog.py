@@ -687,11 +687,11 @@ def suggestion_gates(spark: SparkSession, folder: str) -> DataFrame:
     return S.table(spark, folder, "documents").select("doc_id", gate.alias("g")).select("doc_id", "g.template_id", "g.tried", "g.verified")
 
 
-@query("""SELECT o_orderkey AS job_id, CAST(row_number() OVER (ORDER BY CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END, o_orderkey) AS INTEGER) AS turn FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 5 IN (0, 1, 2)""")
+@query("""SELECT o_orderkey AS job_id, CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS lane_no FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 5 IN (0, 1, 2)""")
 def drain_order(spark: SparkSession, folder: str) -> DataFrame:
     """The order in which a nightly pass takes jobs (ST3)."""
     lane = F.when(F.col("job_id") % 5 == 0, "escalation").when(F.col("job_id") % 5 == 1, "deferred").when(F.col("job_id") % 5 == 2, "nightly").otherwise("other")
-    return growth.drain_order(_jobs(spark, folder).withColumn("execution_lane", lane), nightly=True).select("job_id", "turn")
+    return growth.drain_order(_jobs(spark, folder).withColumn("execution_lane", lane), nightly=True).select("job_id", "lane_no")
 
 
 @query(f"""WITH RECURSIVE {_RAW_CHUNKS} SELECT doc_id, chunk_no, tokens, paragraphs AS lines FROM chunks""")
