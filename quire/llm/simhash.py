@@ -37,7 +37,7 @@ from quire.llm.components import connected_components
 
 SEED = 42
 #: Fingerprints for each prefix of variants, on average, and variants that a task sorts at once.
-PER_PREFIX, PIECE = 1024, 1 << 21
+PER_PREFIX, PIECE = 1024, 1 << 19
 
 
 def prefix_bits(n: int) -> int:

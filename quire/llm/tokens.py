@@ -37,7 +37,7 @@ WORD_PIECES = re.compile(rf"[{LATIN}]+(?=[ \t\r\n.,;:!?]|$)|[^ \t\r\n]+")
 _RUNS_ON = re.compile(rf"[^{LATIN}0-9 \t\r\n][,.]")
 _SIMPLE = re.compile(rf" ?[{LATIN}]+")
 #: Entries in one generation of the memory of what stands between cuts; that of pieces holds a quarter.
-GENERATION = 450_000
+GENERATION = 250_000
 
 
 class _Memory(dict):
