@@ -13,7 +13,7 @@ Defined results.  Null and empty texts have no words and no hits.  Null or empty
 windows; an item with null ``item_id`` marks hits but adds nothing to ``items``.  Repeated items,
 repeated rows and repeated ids each count as they stand; ``items`` holds distinct ids.  Empty
 tables give empty or clean results.  Input columns are kept; result columns are named by
-``prefix`` and raise ``ValueError`` if the input already has one.
+``prefix``, which is ended in underscores while the input has a column of such a name.
 """
 
 from __future__ import annotations
@@ -121,12 +121,18 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
     yield block
 
 
+def free_prefix(docs: DataFrame, prefix: str) -> str:
+    """The prefix that ``find_hits`` uses for these columns: none of them starts with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", prefix: str = "hit_", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``<prefix>n_words``, ``<prefix>spans`` (disjoint hit word ranges, end exclusive,
     ascending) and ``<prefix>items`` (sorted ids of items with an occurring window)."""
+    prefix = free_prefix(docs, prefix)
     spark, made = docs.sparkSession, [f"{prefix}n_words", f"{prefix}spans", f"{prefix}items"]
-    if clash := set(made) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist; choose another prefix")
     out: DataFrame | None = None
     for items in item_blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast(WindowSet(items, n))
@@ -163,7 +169,7 @@ def is_contaminated(n_words, spans):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    prefix = options.setdefault("prefix", "hit_")
+    prefix = options["prefix"] = free_prefix(docs, options.get("prefix", "hit_"))
     found = find_hits(docs, benchmark, **options)
     return found.where(~is_contaminated(F.col(f"{prefix}n_words"), F.col(f"{prefix}spans"))).select(*docs.columns)
 
@@ -189,8 +195,6 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], text_col: str, prefix: str)
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """All documents; the text from the first to the last word of each hit range is cut out."""
-    prefix = options.setdefault("prefix", "hit_")
-    if any(name.startswith(prefix) for name in docs.columns):
-        raise ValueError(f"input columns start with {prefix!r}; choose another prefix")
+    prefix = options["prefix"] = free_prefix(docs, options.get("prefix", "hit_"))
     found = find_hits(docs, benchmark, **options)
     return found.mapInArrow(partial(_cut_batches, text_col=options.get("text_col", "text"), prefix=prefix), docs.schema)

@@ -19,22 +19,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NAMES = ("_id", "_hash", "_cover")
-
-
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    if clash := set(_NAMES) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are reserved")
-    return docs.withColumns({"_id": F.col(id_col), "_hash": F.xxhash64(text_col)})
-
+from quire.llm import storage
 
 def removed_lines(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(_id, _hash, _cover)``: for each document with removed lines, first lines of the windows
     that are later occurrences."""
     lines = F.split(F.col(text_col), "\n")
-    count = F.size(lines) - width + 1
+    count = F.size("_lines") - width + 1
     keys = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.unhex(F.md5(F.array_join(F.slice("_lines", i + 1, width), "\n"))))
-    windows = _marked(docs.select(id_col, text_col), id_col, text_col).withColumn("_lines", lines).where(F.size("_lines") >= width)
+    windows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), lines.alias("_lines")).where(F.size("_lines") >= width)
     places = windows.select("_id", "_hash", F.posexplode(keys).alias("_line", "_key"))
     first = places.groupBy("_key").agg(F.min(F.struct("_id", "_hash", "_line")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = places.join(first, "_key").where(~F.struct("_id", "_hash", "_line").eqNullSafe(F.col("_first")))
@@ -42,15 +35,15 @@ def removed_lines(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", te
 
 
 def dedup_lines(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with the removed lines cut from their texts; ``count_col`` gets how many went."""
-    marked = _marked(docs, id_col, text_col).alias("d")
+    """``docs`` with the removed lines cut from their texts; ``count_col``, its name ended in underscores
+    while the input has such a column, gets how many went."""
     gone = removed_lines(docs, width=width, id_col=id_col, text_col=text_col).alias("g")
-    joined = marked.join(gone, F.col("d._id").eqNullSafe(F.col("g._id")) & (F.col("d._hash") == F.col("g._hash")), "left")
+    joined = docs.alias("d").join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("g._id")) & (F.xxhash64(f"d.{text_col}") == F.col("g._hash")), "left")
     lines = F.split(F.col(f"d.{text_col}"), "\n")
-    covered = F.array_distinct(F.flatten(F.transform("_cover", lambda p: F.sequence(p, p + width - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("g._cover", lambda p: F.sequence(p, p + width - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda i: F.get(lines, i))
-    text = F.when(F.col("_cover").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("g._cover").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns]
     if count_col is not None:
-        columns.append(F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(count_col) if count_col not in docs.columns else F.raise_error(F.lit(f"column {count_col} exists")))
+        columns.append(F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(storage.free(docs.columns, count_col)))
     return joined.select(*columns)

@@ -174,7 +174,7 @@ def _assign_batches(batches: Iterator[pa.RecordBatch], runs: dict[str, np.ndarra
 def pack(pieces: DataFrame, *, capacity: int = 4096, length_col: str = "length", order: list[str]) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.  ``pieces`` must be a stored table, as it is
     read twice; ``order`` are columns that tell its rows apart (equal rows may change places)."""
-    keep, counts = pieces.columns, pieces.groupBy(length_col).count().collect()
+    keep, counts = pieces.columns, [tuple(r) for r in pieces.groupBy(length_col).agg(F.count("*")).collect()]
     plan = Plan({r[0]: r[1] for r in counts}, capacity)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)).cast("int"))
     groups = salted.groupBy(length_col, "_salt").agg(F.count("*").alias("_n"))

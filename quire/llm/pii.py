@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from quire.llm import spans
+from quire.llm import spans, storage
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "userinfo", "iban", "account", "ssn")
@@ -111,4 +111,5 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", name: str = "pii") -> D
 
 
 def mask_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    return spans.masked(find_pii(docs, text_col=text_col, name="_pii"), text_col=text_col, name="_pii")
+    name = storage.free(docs.columns, "pii")
+    return spans.masked(find_pii(docs, text_col=text_col, name=name), text_col=text_col, name=name)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm import words
+from quire.llm import storage, words
 
 MAX_POSITIVES, MAX_UNLABELLED = 6000, 12000
 #: The share of trusted positives that the threshold must keep, and a margin below, in logits.
@@ -184,14 +184,15 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Model, text_col: st
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if None) and the score."""
+    """The columns ``keep`` (all, if None) and the score, its name ended in underscores while the input
+    has such a column."""
     kept = docs.columns if keep is None else keep
-    if name in kept:
-        raise ValueError(f"column {name!r} exists; choose another name")
+    name = storage.free(kept, name)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
     return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(partial(_score_batches, model=model, text_col=text_col, name=name, keep=kept), schema)
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents that score at least ``threshold``."""
-    return score(docs, model, text_col=text_col, name="_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    name = storage.free(docs.columns, "score")
+    return score(docs, model, text_col=text_col, name=name).where(F.col(name) >= threshold).drop(name)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import zstandard
 from pyspark.sql import DataFrame
 
-from quire.llm import spans
+from quire.llm import spans, storage
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "novel")
@@ -91,4 +91,5 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", name: str = "secret
 
 
 def mask_secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    return spans.masked(find_secrets(docs, text_col=text_col, name="_secrets"), text_col=text_col, name="_secrets")
+    name = storage.free(docs.columns, "secrets")
+    return spans.masked(find_secrets(docs, text_col=text_col, name=name), text_col=text_col, name=name)

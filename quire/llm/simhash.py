@@ -84,10 +84,10 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], text_col: str, name:
 
 
 def fingerprints(docs: DataFrame, *, k: int = 4, text_col: str = "text", keep: list[str] | None = None, name: str = "simhash") -> DataFrame:
-    """The columns ``keep`` (all, if None) and the fingerprint as a signed long."""
+    """The columns ``keep`` (all, if None) and the fingerprint as a signed long, its name ended in
+    underscores while the input has such a column."""
     kept = docs.columns if keep is None else keep
-    if name in kept:
-        raise ValueError(f"column {name!r} exists; choose another name")
+    name = storage.free(kept, name)
     source = docs.select(*dict.fromkeys([*kept, text_col]))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.LongType())])
     return source.mapInArrow(partial(_fingerprint_batches, text_col=text_col, name=name, k=k, keep=kept), schema)
@@ -182,7 +182,8 @@ def ball_links(points: DataFrame, *, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, k: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, simhash, component)`` for each row; component is the smallest id reachable over links
     between fingerprints within ``distance`` bits."""
-    marked = fingerprints(docs, k=k, text_col=text_col, keep=[id_col], name="simhash").select(F.col(id_col).alias("id"), "simhash")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    marked = fingerprints(source, k=k, text_col="body", keep=["id"], name="simhash")
     marked, _ = storage.write_table(marked, "simhash")
     classes = marked.groupBy("simhash").agg(F.min("id").alias("least"))
     components = connected_components(ball_links(classes.select("simhash"), distance=distance))
@@ -295,5 +296,6 @@ def keep_first(docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col:
     id stay or go as their texts do; a null id gives way to any other, and stays if its group has
     no other."""
     found = similar_groups(docs.select(id_col, text_col), k=k, id_col=id_col, text_col=text_col)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+    gone_id, gone_hash = storage.free(docs.columns, "id"), storage.free(docs.columns, "hash")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_hash)), "left_anti")

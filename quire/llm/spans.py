@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm import storage
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -30,9 +32,9 @@ def _batches(batches: Iterator[pa.RecordBatch], make: Callable, text_col: str, n
 
 
 def with_spans(docs: DataFrame, make: Callable, kinds: tuple[str, ...], *, text_col: str, name: str) -> DataFrame:
-    """``docs`` and a column of spans; ``make()`` builds the finder once for each task."""
-    if name in docs.columns:
-        raise ValueError(f"column {name!r} exists; choose another name")
+    """``docs`` and a column of spans; ``make()`` builds the finder once for each task.  Where the
+    input has a column of that name, the new one ends in as many underscores as make it free."""
+    name = storage.free(docs.columns, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, SPANS)])
     return docs.mapInArrow(partial(_batches, make=make, text_col=text_col, name=name, kinds=kinds), schema)
 

@@ -29,6 +29,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
 
 
+def free(taken, name: str) -> str:
+    """``name``, with underscores at its end while ``taken`` has it in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Runs ``df`` into a Parquet table of the shared folder; returns it as read back, and its path."""
     path = new_path(df.sparkSession, label)
