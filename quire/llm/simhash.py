@@ -198,7 +198,7 @@ PARTS, SLICE = 5, 40
 SLICES = PARTS * 64 // SLICE
 #: Long fingerprints are linked within these bits; a similarity of 0.8 is expected to differ in 48.
 LONG_DISTANCE = 52
-LONG_PER_PREFIX = 1 << 14
+LONG_PER_PREFIX = 1 << 16
 
 
 def long_fingerprints_of(column: pa.Array, k: int) -> np.ndarray:
@@ -231,32 +231,49 @@ def _long_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
 def _spread_slices(batches: Iterator[pa.RecordBatch], radius: int, bits: int) -> Iterator[pa.RecordBatch]:
     masks = ball_masks(bits, radius)
     for batch in batches:
-        parts = np.stack([batch.column(c).to_numpy() for c in _PART_NAMES], axis=1).view(np.uint64)
-        names = np.repeat(batch.column("name").to_numpy(), len(masks))
-        for number, points in enumerate(slices_of(parts).T):
+        columns = [batch.column(c).to_numpy() for c in ("name", *_PART_NAMES)]
+        many = [pa.array(np.repeat(c, len(masks))) for c in columns]
+        for number, points in enumerate(slices_of(np.stack(columns[1:], axis=1).view(np.uint64)).T):
             prefixes = ((points >> np.uint64(SLICE - bits))[:, None] ^ masks[None, :]).reshape(-1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(prefixes + (number << 48)), pa.array(names), pa.array(np.repeat(points, len(masks)).view(np.int64))], ["prefix", "name", "point"])
+            yield pa.RecordBatch.from_arrays([pa.array(prefixes + (number << 48)), *many], ["prefix", "name", *_PART_NAMES])
 
 
-def _colliding_pairs(prefix: int, table: pa.Table, radius: int, bits: int) -> pa.Table:
-    """Pairs of names that share a variant: each with the next three there, and with the first."""
+def _similar_links(prefix: int, table: pa.Table, radius: int, bits: int, distance: int) -> pa.Table:
+    """Links between names that share a variant, each with the next one there and with the first,
+    verified on all parts: of those the shortest that connect what all of them connect."""
     order = np.argsort(table.column("name").to_numpy())
-    names, points = table.column("name").to_numpy()[order], table.column("point").to_numpy().view(np.uint64)[order]
-    apart = (points >> np.uint64(SLICE - bits)) ^ np.uint64(prefix % (1 << 48))
-    left = radius - np.bitwise_count(apart).astype(np.int64)
-    found = [np.zeros(0, np.int64)]
-    n = np.int64(len(names))
+    names = table.column("name").to_numpy()[order]
+    parts = np.stack([table.column(c).to_numpy() for c in _PART_NAMES], axis=1)[order].view(np.uint64)
+    points = slices_of(parts)[:, prefix >> 48]
+    left = radius - np.bitwise_count((points >> np.uint64(SLICE - bits)) ^ np.uint64(prefix % (1 << 48))).astype(np.int64)
+    n, found = np.int64(len(names)), [np.zeros(0, np.int64)]
     for index, variants in _pieces(points, left, SLICE - bits):
         order = np.lexsort((index, variants))
         index, variants = index[order], variants[order]
-        met = [index[i] * n + index[j] for step in (1, 2, 3) for i in [np.flatnonzero(variants[step:] == variants[:-step])] for j in [i + step]]
+        same = np.flatnonzero(variants[1:] == variants[:-1])
         new = np.ones(len(variants), dtype=bool)
         new[1:] = variants[1:] != variants[:-1]
         first = index[np.flatnonzero(new)][np.cumsum(new) - 1]
-        met.append((first * n + index)[first != index])
-        found.append(np.unique(np.concatenate(met)))
+        found.append(np.unique(np.concatenate([index[same] * n + index[same + 1], (first * n + index)[first != index]])))
     pairs = np.unique(np.concatenate(found))
-    return pa.table({"u": pa.array(names[pairs // max(n, 1)]), "v": pa.array(names[pairs % max(n, 1)])})
+    u, v = pairs // max(n, 1), pairs % max(n, 1)
+    apart = np.bitwise_count(parts[u] ^ parts[v]).sum(axis=1, dtype=np.int64)
+    root, kept = np.arange(n), []
+    for length in range(distance + 1):  # as Kruskal has it, a length at a time
+        at = np.flatnonzero(apart == length)
+        at = at[root[u[at]] != root[v[at]]]
+        above: dict[int, int] = {}
+        for i in at.tolist():
+            a, b = int(root[u[i]]), int(root[v[i]])
+            while a in above:
+                a = above[a]
+            while b in above:
+                b = above[b]
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                kept.append(i)
+        root = _join(root, u[at], v[at])
+    return pa.table({"u": pa.array(names[u[kept]]), "v": pa.array(names[v[kept]])})
 
 
 def similar_groups(docs: DataFrame, *, k: int = 5, distance: int = LONG_DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,24 +285,21 @@ def similar_groups(docs: DataFrame, *, k: int = 5, distance: int = LONG_DISTANCE
     ball hashing (4 bits or fewer differ), and a pair that meets in any slice is verified on all 320:
     linked at ``distance`` bits or fewer.  Most pairs at a similarity of 0.8 and
     all at 0.9 are linked, some at 0.7, none at 0.5.  On a crowded variant
-    pairs are taken along a chain and from its first member, never all of them."""
+    pairs are taken along a chain and from its first member, never all of them, and each task sends on
+    a shortest forest of its links, not the links."""
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("body"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("hash", T.LongType()), *(T.StructField(c, T.LongType()) for c in _PART_NAMES)])
     marked, _ = storage.write_table(source.mapInArrow(partial(_long_batches, k=k), schema), "simhash")
     classes, _ = storage.write_table(marked.groupBy(*_PART_NAMES).agg(F.min("id").alias("least")).withColumn("name", F.xxhash64(*_PART_NAMES)), "simhash")
     bits = min(16, max(2, (classes.count() // LONG_PER_PREFIX).bit_length()))
     radius = 2
-    spread = classes.mapInArrow(partial(_spread_slices, radius=radius, bits=bits), "prefix long, name long, point long")
+    spread = classes.mapInArrow(partial(_spread_slices, radius=radius, bits=bits), "prefix long, name long, " + ", ".join(f"{c} long" for c in _PART_NAMES))
 
-    def collide(key, table):
-        return _colliding_pairs(key[0].as_py(), table, radius, bits)
+    def link(key, table):
+        return _similar_links(key[0].as_py(), table, radius, bits, distance)
 
-    pairs = spread.groupBy("prefix").applyInArrow(collide, "u long, v long").distinct()
-    for end in ("u", "v"):
-        side = classes.select(F.col("name").alias(end), F.array(*_PART_NAMES).alias(f"{end}_parts"))
-        pairs = pairs.join(side, end)
-    apart = sum((F.bit_count(F.col("u_parts")[i].bitwiseXOR(F.col("v_parts")[i])) for i in range(1, PARTS)), F.bit_count(F.col("u_parts")[0].bitwiseXOR(F.col("v_parts")[0])))
-    components = connected_components(pairs.where(apart <= distance).select("u", "v"))
+    links = spread.groupBy("prefix").applyInArrow(link, "u long, v long")
+    components = connected_components(links)
     joined = classes.join(components.select(F.col("node").alias("name"), F.col("component").alias("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     return marked.join(joined.join(least, "root").select(*_PART_NAMES, "component"), _PART_NAMES)
