@@ -36,8 +36,9 @@ WORD_PIECES = re.compile(rf"[{LATIN}]+(?=[ \t\r\n.,;:!?]|$)|[^ \t\r\n]+")
 #: A comma or a full stop that may belong to a pre-token which began before it.
 _RUNS_ON = re.compile(rf"[^{LATIN}0-9 \t\r\n][,.]")
 _SIMPLE = re.compile(rf" ?[{LATIN}]+")
-#: Entries in one generation of the memory of what stands between cuts; that of pieces holds a quarter.
-GENERATION = 250_000
+#: Entries in one generation of the memory of what stands between cuts, for vocabularies that drop
+#: white space and for those that keep it; the memory of pieces holds a quarter.
+GENERATION, BYTE_GENERATION = 250_000, 600_000
 
 
 class _Memory(dict):
@@ -112,7 +113,8 @@ class Encoder:
                 out = b"".join(map(self._parts.__getitem__, parts))
             except _Unsafe:
                 out = self._encode_pieces(text)
-        self._pieces, self._parts = self._pieces.renewed(GENERATION // 4), self._parts.renewed(GENERATION)
+        most = BYTE_GENERATION if self._keeps_space else GENERATION
+        self._pieces, self._parts = self._pieces.renewed(most // 4), self._parts.renewed(most)
         return out
 
     def encode(self, text: str | None) -> np.ndarray:

@@ -22,6 +22,7 @@ def test_pieces_give_the_ids_of_whole_texts(path, pieces, real_docs, edge_docs,
     texts += ["<|endoftext|> a <|endoftext|>b", "don't  we'll 'tis", "a.. ,b, c.", "x\0y ", "İ ſ ΣΑΣ. Σας,", "3.14,15 ", " .5", "a ,b"]
     whole = Tokenizer.from_file(path)
     monkeypatch.setattr(tokens, "GENERATION", 500)
+    monkeypatch.setattr(tokens, "BYTE_GENERATION", 500)
     encoder = tokens.Encoder(path, pieces)
     for text in texts:
         assert encoder.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
