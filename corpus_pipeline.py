@@ -4,7 +4,8 @@ Stages take ``(spark, docs, sf_dir)``.  All but the last return the columns of `
 
 1. quality: documents that the classifier rejects go (score below 0.3);
 2. line dedup: later occurrences of three-line windows are cut from the texts, ``n_chars`` follows;
-3. SimHash near-dedup: the document with the smallest id of each group stays;
+3. near-dedup: the document with the smallest id of each group stays; links are pairs whose five-word
+   shingles are similar to 0.8 or more;
 4. decontamination: documents of which a twentieth or more is benchmark text go;
 5. packing: the documents' token ids as pieces in sequences of at most 4096 tokens.
 
@@ -17,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, line_dedup, packing, quality, simhash, storage
+from quire.llm import decontaminate, line_dedup, packing, quality, similar, storage
 from quire.session import ship
 
 
@@ -34,7 +35,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.keep_first(docs, k=5)
+    return similar.keep_first(docs, k=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
