@@ -26,3 +26,11 @@ def test_templates_and_repeats_do_not_chain(spark):
     texts = [fresh("t", 160) + fresh(f"a{i}", 44) for i in range(150)]
     texts += [fresh(f"r{i}", 40) + ["same"] * 120 for i in range(20)]
     assert kept(spark, texts) == set(plain_groups(texts)) == set(range(len(texts)))
+
+
+def test_pairs_just_above_the_threshold_are_linked(spark):
+    texts = []
+    for i in range(250):
+        one, changed = fresh(f"p{i}", 204), 17 + i % 6
+        texts += [one, one[:-changed] + fresh(f"q{i}", changed)]
+    assert kept(spark, texts) == set(range(0, 500, 2))
