@@ -1,6 +1,10 @@
 """The pipeline's near-dedup against brute-force similarities of distinct five-word shingles."""
 
 import corpus_pipeline
+import pytest
+
+from quire.llm import similar
+
 
 def fresh(name, n):
     return [f"{name}x{i}" for i in range(n)]
@@ -34,3 +38,13 @@ def test_pairs_just_above_the_threshold_are_linked(spark):
         one, changed = fresh(f"p{i}", 204), 17 + i % 6
         texts += [one, one[:-changed] + fresh(f"q{i}", changed)]
     assert kept(spark, texts) == set(range(0, 500, 2))
+
+
+@pytest.mark.parametrize("piece", [8, 1024])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, piece):
+    monkeypatch.setattr(similar, "PIECE", piece)
+    texts = []
+    for i in range(80):
+        one = fresh("t", 170) + fresh(f"a{i}", 34)
+        texts += [one, one[:-20] + fresh(f"b{i}", 20), one[:-8] + fresh(f"c{i}", 8)]
+    assert kept(spark, texts) == set(plain_groups(texts))
