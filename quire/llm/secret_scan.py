@@ -5,8 +5,9 @@ Base kinds, leftmost and non-overlapping: ``assign`` (a secret's name, a separat
 
 Novelty: a candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` that no base span
 touches, holding a letter and a digit, that starts within ``REACH`` characters behind a cue of a
-sensitive context.  Its
-surrounding text, without it, and a dictionary of identifiers and code words prime a zstandard
+sensitive context, in the block of a private key, or at most two characters behind a novel one.  A
+run begins behind ``=`` too, and parts of 16 or more that ``=`` divides are candidates of their own, so the
+name in NAME=value is not measured with the value.  Its surrounding text, without it, and a dictionary of identifiers and code words prime a zstandard
 compressor; what the candidate adds to the compressed size, in bytes, over its length is its
 novelty.  Words, paths and identifiers are cheap there, random strings are not: novelty of
 ``MIN_NOVELTY`` or more is reported as ``novel``.  Whole texts are scanned; the surroundings of one
@@ -29,11 +30,14 @@ KINDS = (*BASE, "novel")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?!=)[A-Za-z0-9+/_=-]{16}")
 REST = re.compile(r"[A-Za-z0-9+/_=-]*")
+PART = re.compile(r"[A-Za-z0-9+/_-]{16,}=*")
 MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
-CUE = re.compile(r"(?i:passwd|password|passphrase|pwd|secret|token|api_?key|apikey|access_?key|private_?key|client_?key|credential|authorization|bearer|signature|connection_?string)", re.ASCII)
+CUE = re.compile(r"(?i:passwd|password|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?key|credential|authorization|bearer|signature|connection[ _-]?string)", re.ASCII)
 REACH, AROUND, MIN_NOVELTY = 64, 512, 0.7
+#: Characters of a private key's block at most.
+BLOCK = 1 << 14
 
 #: Words of code and configuration that make an identifier or a path cheap.
 DICTIONARY = " ".join(
@@ -74,15 +78,18 @@ class Finder:
         yield from taken
         done = 0
         for cue in CUE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(cue.end(), done), cue.end() + REACH + 16):
-                if m.start() < done:
-                    continue
-                start, end = m.start(), REST.match(text, m.end()).end()
-                done = end
-                if not MIXED.search(text, start, end) or any(s < end and start < e for s, e, _ in taken):
-                    continue
-                if self.novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= self.min_novelty:
-                    yield start, end, "novel"
+            at, limit = max(cue.end(), done), cue.end() + REACH
+            if text.startswith("-----", cue.end()) and text.rfind("-----BEGIN ", max(0, cue.start() - 40), cue.start()) >= 0:
+                limit = max(limit, text.find("-----END", cue.end(), cue.end() + BLOCK))
+            while m := CANDIDATE.search(text, at, limit + 16):
+                at = done = REST.match(text, m.end()).end()
+                parts = [p.span() for p in PART.finditer(text, m.start(), done)] or [(m.start(), done)]
+                for start, end in parts:
+                    if not MIXED.search(text, start, end) or any(s < end and start < e for s, e, _ in taken):
+                        continue
+                    if self.novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= self.min_novelty:
+                        limit = max(limit, end + 2)
+                        yield start, end, "novel"
 
 
 def find_secrets(docs: DataFrame, *, text_col: str = "text", name: str = "secrets") -> DataFrame:
