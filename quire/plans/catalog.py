@@ -60,7 +60,8 @@ def _routed(spark: SparkSession, folder: str) -> DataFrame:
   CASE WHEN template_order IS NULL THEN 'review' WHEN version IS NULL THEN 'review' WHEN version <> '2.0' THEN 'reject' ELSE 'auto' END AS verdict FROM matched)
 SELECT lane, template_order, verdict, count(*) AS n FROM v GROUP BY ALL""")
 def doc_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines, recognition, a pattern field, checks and the verdict."""
+    """Lines, recognition, a pattern field, checks and the verdict.
+    Recognition is exact only, as in the SQL: a document whose anchor has a slip goes to rag and review."""
     routed = _routed(spark, folder)
     return routed.groupBy("lane", "template_order", F.coalesce("verdict", F.lit("review")).alias("verdict")).agg(F.count("*").alias("n"))
 
@@ -69,7 +70,7 @@ def doc_verdicts(spark: SparkSession, folder: str) -> DataFrame:
   WHEN version <> '2.0' THEN 'vocabulary check failed (version): ' || version || ' not in the allowed list' ELSE '' END AS reasons
 FROM matched WHERE template_order IS NOT NULL""")
 def doc_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Reasons as they are shown (A2)."""
+    """Reasons as they are shown (A2).  Recognition is exact only: a document whose anchor has a slip is missing."""
     return _routed(spark, folder).where("lane = 'structured'").select("doc_id", "template_order", F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -277,7 +278,8 @@ def value_right(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def fuzzy_anchor(spark: SparkSession, folder: str) -> DataFrame:
-    """Recognition that forgives a reader's slips (P2); tested against Python's own ratio."""
+    """Recognition that forgives a reader's slips (P2), over the first two templates only; tested against
+    Python's own ratio."""
     docs = S.table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", "License", "Licemse").alias("text"))
     templates = match.templates_table(spark, TEMPLATES[:2])
     return match.match_templates(L.text_lines(docs), templates)
