@@ -170,7 +170,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy()
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
         cuts = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         at = 0
         for cut in cuts:

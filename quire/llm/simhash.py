@@ -38,6 +38,8 @@ from quire.llm.components import connected_components
 SEED = 42
 #: Fingerprints for each prefix of variants, on average, and variants that a task sorts at once.
 PER_PREFIX, PIECE = 1024, 1 << 19
+#: Fingerprints that one task spreads over prefixes, about.
+PER_TASK = 1 << 14
 
 
 def prefix_bits(n: int) -> int:
@@ -169,8 +171,10 @@ def ball_links(points: DataFrame, *, distance: int = 4) -> DataFrame:
     ``distance`` bits (even); ``points`` has one long column."""
     if distance % 2:
         raise ValueError("distance must be even: each side takes half of it")
-    radius, points = distance // 2, points.distinct()
-    bits = prefix_bits(points.count())
+    radius, points = distance // 2, storage.write_table(points.distinct(), "points")[0]
+    n = points.count()
+    bits = prefix_bits(n)
+    points = points.repartition(max(1, n // PER_TASK), points.columns[0])  # each grows about bits squared / 2 times
     spread = points.mapInArrow(partial(_spread_batches, radius=radius, bits=bits), "prefix long, point long")
 
     def link(key, table):
@@ -188,128 +192,5 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, distance: int = 4, id_col: s
     classes = marked.groupBy("simhash").agg(F.min("id").alias("least"))
     components = connected_components(ball_links(classes.select("simhash"), distance=distance))
     joined = classes.join(components.select(F.col("node").alias("simhash"), F.col("component").alias("root")), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    named = joined.join(least, "root").select("simhash", "component")
+    named, _ = storage.write_table(storage.with_group_min(joined, "root", "least", "component").select("simhash", "component"), "simhash")
     return marked.join(named, "simhash").select("id", "simhash", "component")
-
-
-#: Long fingerprints: 64-bit parts, bits of a slice, and slices.
-PARTS, SLICE = 5, 40
-SLICES = PARTS * 64 // SLICE
-#: Long fingerprints are linked within these bits; a similarity of 0.8 is expected to differ in 48.
-LONG_DISTANCE = 52
-LONG_PER_PREFIX = 1 << 16
-
-
-def long_fingerprints_of(column: pa.Array, k: int) -> np.ndarray:
-    """Rows of PARTS unsigned 64-bit numbers, each the majority over a remix of the shingles' hashes."""
-    out = [np.zeros((0, PARTS), np.uint64)]
-    for block in words.blocks(column, words.NOT_SPACE, lower=True):
-        hashes, shingles = _shingle_hashes(block, k)
-        remixed = [hashes, *(words.mix(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(1, PARTS))]
-        out.append(np.stack([_majorities(h, shingles) for h in remixed], axis=1))
-    return np.concatenate(out)
-
-
-def slices_of(parts: np.ndarray) -> np.ndarray:
-    """The SLICES numbers of SLICE bits that long fingerprints consist of."""
-    raw = np.ascontiguousarray(parts.astype(">u8")).view(np.uint8).reshape(len(parts), SLICES, SLICE // 8)
-    wide = np.zeros((len(parts), SLICES, 8), np.uint8)
-    wide[:, :, 8 - SLICE // 8 :] = raw
-    return wide.reshape(len(parts), -1).view(">u8").astype(np.uint64)
-
-
-_PART_NAMES = [f"part{i}" for i in range(PARTS)]
-
-
-def _long_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = long_fingerprints_of(batch.column("body"), k).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), *(pa.array(made[:, i]) for i in range(PARTS))], ["id", "hash", *_PART_NAMES])
-
-
-def _spread_slices(batches: Iterator[pa.RecordBatch], radius: int, bits: int) -> Iterator[pa.RecordBatch]:
-    masks = ball_masks(bits, radius)
-    for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in ("name", *_PART_NAMES)]
-        many = [pa.array(np.repeat(c, len(masks))) for c in columns]
-        for number, points in enumerate(slices_of(np.stack(columns[1:], axis=1).view(np.uint64)).T):
-            prefixes = ((points >> np.uint64(SLICE - bits))[:, None] ^ masks[None, :]).reshape(-1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(prefixes + (number << 48)), *many], ["prefix", "name", *_PART_NAMES])
-
-
-def _similar_links(prefix: int, table: pa.Table, radius: int, bits: int, distance: int) -> pa.Table:
-    """Links between names that share a variant, each with the next one there and with the first,
-    verified on all parts: of those the shortest that connect what all of them connect."""
-    order = np.argsort(table.column("name").to_numpy())
-    names = table.column("name").to_numpy()[order]
-    parts = np.stack([table.column(c).to_numpy() for c in _PART_NAMES], axis=1)[order].view(np.uint64)
-    points = slices_of(parts)[:, prefix >> 48]
-    left = radius - np.bitwise_count((points >> np.uint64(SLICE - bits)) ^ np.uint64(prefix % (1 << 48))).astype(np.int64)
-    n, found = np.int64(len(names)), [np.zeros(0, np.int64)]
-    for index, variants in _pieces(points, left, SLICE - bits):
-        order = np.lexsort((index, variants))
-        index, variants = index[order], variants[order]
-        same = np.flatnonzero(variants[1:] == variants[:-1])
-        new = np.ones(len(variants), dtype=bool)
-        new[1:] = variants[1:] != variants[:-1]
-        first = index[np.flatnonzero(new)][np.cumsum(new) - 1]
-        found.append(np.unique(np.concatenate([index[same] * n + index[same + 1], (first * n + index)[first != index]])))
-    pairs = np.unique(np.concatenate(found))
-    u, v = pairs // max(n, 1), pairs % max(n, 1)
-    apart = np.bitwise_count(parts[u] ^ parts[v]).sum(axis=1, dtype=np.int64)
-    root, kept = np.arange(n), []
-    for length in range(distance + 1):  # as Kruskal has it, a length at a time
-        at = np.flatnonzero(apart == length)
-        at = at[root[u[at]] != root[v[at]]]
-        above: dict[int, int] = {}
-        for i in at.tolist():
-            a, b = int(root[u[i]]), int(root[v[i]])
-            while a in above:
-                a = above[a]
-            while b in above:
-                b = above[b]
-            if a != b:
-                above[max(a, b)] = min(a, b)
-                kept.append(i)
-        root = _join(root, u[at], v[at])
-    return pa.table({"u": pa.array(names[u[kept]]), "v": pa.array(names[v[kept]])})
-
-
-def similar_groups(docs: DataFrame, *, k: int = 5, distance: int = LONG_DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, hash, part0, .., component)``: groups of texts whose shingles are similar to 0.8 or more, as
-    long fingerprints tell it.
-
-    At a similarity of 0.8 single fingerprints differ in ten bits on average, more than balls of a
-    feasible radius bridge.  So a fingerprint of 320 bits is cut into 8 slices of 40.  Slices meet by
-    ball hashing (4 bits or fewer differ), and a pair that meets in any slice is verified on all 320:
-    linked at ``distance`` bits or fewer.  Most pairs at a similarity of 0.8 and
-    all at 0.9 are linked, some at 0.7, none at 0.5.  On a crowded variant
-    pairs are taken along a chain and from its first member, never all of them, and each task sends on
-    a shortest forest of its links, not the links."""
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("body"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("hash", T.LongType()), *(T.StructField(c, T.LongType()) for c in _PART_NAMES)])
-    marked, _ = storage.write_table(source.mapInArrow(partial(_long_batches, k=k), schema), "simhash")
-    classes, _ = storage.write_table(marked.groupBy(*_PART_NAMES).agg(F.min("id").alias("least")).withColumn("name", F.xxhash64(*_PART_NAMES)), "simhash")
-    bits = min(16, max(2, (classes.count() // LONG_PER_PREFIX).bit_length()))
-    radius = 2
-    spread = classes.mapInArrow(partial(_spread_slices, radius=radius, bits=bits), "prefix long, name long, " + ", ".join(f"{c} long" for c in _PART_NAMES))
-
-    def link(key, table):
-        return _similar_links(key[0].as_py(), table, radius, bits, distance)
-
-    links = spread.groupBy("prefix").applyInArrow(link, "u long, v long")
-    components = connected_components(links)
-    joined = classes.join(components.select(F.col("node").alias("name"), F.col("component").alias("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    return marked.join(joined.join(least, "root").select(*_PART_NAMES, "component"), _PART_NAMES)
-
-
-def keep_first(docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of ``similar_groups``: the one with the smallest id.  Rows with one
-    id stay or go as their texts do; a null id gives way to any other, and stays if its group has
-    no other."""
-    found = similar_groups(docs.select(id_col, text_col), k=k, id_col=id_col, text_col=text_col)
-    gone_id, gone_hash = storage.free(docs.columns, "id"), storage.free(docs.columns, "hash")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash)).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_hash)), "left_anti")

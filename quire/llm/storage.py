@@ -1,7 +1,8 @@
 """Where operators of this subpackage keep what several jobs read.
 
 Executors and driver share no local folder, so lineage is cut in the folder that the cluster names
-in ``spark.checkpoint.dir``.  Only where that is unset (tests, local mode) is a temporary one used.
+in ``spark.checkpoint.dir``.  Where that is unset, local mode (tests) uses a temporary one; a cluster
+is refused.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = named.rstrip("/")
     else:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='quire-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -54,3 +58,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage reliably: files in the shared folder, which survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a stored table of short fixed-size columns, marked for a broadcast if it has at most ``rows``
+    rows; beyond that Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def with_group_min(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` and the smallest ``value`` of each row's ``key``.  The minima are a stored table, so that the
+    join is of two plain shuffles and adaptive execution can split a frequent key."""
+    least, _ = write_table(df.groupBy(key).agg(F.min(value).alias(name)), "least")
+    return df.join(least, key)

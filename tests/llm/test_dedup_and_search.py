@@ -4,12 +4,11 @@ import random
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import ann, components, queries, simhash, substring_dedup
+from quire.llm import ann, components, queries, simhash, similar, substring_dedup
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -140,12 +139,12 @@ def test_simhash_takes_odd_rows(edge_docs, no_docs):
     assert rows[(2, 0)] == rows[(3, 0)] == rows[(9, 0)] == 2
     assert rows[next(k for k in rows if k[0] == 4)] == 1
     assert simhash.near_duplicates(no_docs).count() == 0
-    kept = [r["doc_id"] for r in simhash.keep_first(edge_docs).collect()]
+    kept = [r["doc_id"] for r in similar.keep_first(edge_docs).collect()]
     assert 2 in kept and 3 not in kept and 4 not in kept and 1 in kept
     odd = edge_docs.withColumns({c: F.lit(1) for c in ("simhash", "id", "hash", "part0", "name", "component", "body")})
     assert simhash.fingerprints(odd).columns == [*odd.columns, "simhash_"]
     assert simhash.near_duplicates(odd).count() == odd.count()
-    assert sorted(str(r["doc_id"]) for r in simhash.keep_first(odd).collect()) == sorted(map(str, kept))
+    assert sorted(str(r["doc_id"]) for r in similar.keep_first(odd).collect()) == sorted(map(str, kept))
 
 
 def test_components_of_a_long_path_and_a_star(spark):
@@ -207,38 +206,3 @@ def test_substring_oracle_agrees_on_odd_rows(edge_docs, tmp_path):
     want = sorted(con.sql(queries.ORACLE_SQL["op7_substring_dedup"]).fetchall())
     made = substring_dedup.dedup_substrings(edge_docs.where("doc_id IS NOT NULL")).select("id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
     assert sorted(map(tuple, made)) == want
-
-
-def test_long_fingerprints_meet_as_brute_force_has_it(spark):
-    rnd = random.Random(11)
-    texts = []
-    for _ in range(40):
-        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(3, 300))]
-        texts.append(words)
-        for changes in (1, 3, 8):
-            copy = list(words)
-            for _ in range(min(changes, len(copy))):
-                copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(10**6)}"
-            texts.append(copy)
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000, None), (1001, ""), (None, " ".join(texts[0]))], "doc_id long, text string")
-    parts = simhash.long_fingerprints_of(pa.array([" ".join(t) for t in texts]), 5)
-    slices = simhash.slices_of(parts)
-    apart = np.bitwise_count(parts[:, None, :] ^ parts[None, :, :]).sum(axis=2, dtype=int)
-    near = (np.bitwise_count(slices[:, None, :] ^ slices[None, :, :]) <= 4).any(axis=2) & (apart <= simhash.LONG_DISTANCE)
-    label = np.arange(len(texts))
-    while True:
-        new = np.array([label[near[i]].min() for i in range(len(texts))])
-        if (new == label).all():
-            break
-        label = new
-    made = {r["id"]: r["component"] for r in simhash.similar_groups(docs).collect()}
-    assert [made[i] for i in range(len(texts))] == label.tolist()
-    assert made[1000] == made[1001] == 1000 and made[None] == 0
-    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
-    assert kept == {*label.tolist(), 1000}
-
-
-def test_slices_hold_all_bits():
-    parts = np.array([[1, 2, 3, 4, 5]], np.uint64)
-    bits = "".join(f"{int(p):064b}" for p in parts[0])
-    assert [f"{int(s):040b}" for s in simhash.slices_of(parts)[0]] == [bits[i : i + 40] for i in range(0, 320, 40)]

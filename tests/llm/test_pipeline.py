@@ -45,13 +45,12 @@ def test_stages_match_plain_versions(spark, sf_dir):
     """Each stage on what the stage before kept, held against a plain version of its rule."""
     import re
 
-    import numpy as np
     import public_tokenizers
     import pyarrow as pa
     from test_text_operators import plain_line_dedup
     from tokenizers import Tokenizer
 
-    from quire.llm import quality, simhash
+    from quire.llm import quality
 
     kept = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -69,12 +68,14 @@ def test_stages_match_plain_versions(spark, sf_dir):
 
     before = rows(kept)
     kept, _ = storage.write_table(stages["simhash_near_dedup"](spark, kept, sf_dir), "plain")
-    parts = simhash.long_fingerprints_of(pa.array([t for _, t in before]), 5)
-    slices = simhash.slices_of(parts)
-    near = (np.bitwise_count(slices[:, None] ^ slices[None]) <= 4).any(axis=2) & (np.bitwise_count(parts[:, None] ^ parts[None]).sum(axis=2, dtype=int) <= simhash.LONG_DISTANCE)
-    label = np.arange(len(before))
-    while (new := np.array([label[n].min() for n in near])).tolist() != label.tolist():
-        label = new
+    lower = {i: i + 32 for i in range(65, 91)}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for _, t in before)]
+    label = list(range(len(before)))
+    for i, one in enumerate(sets):  # all pairs, by the similarity of five-word shingles
+        for j, other in enumerate(sets[:i]):
+            if one == other or 5 * len(one & other) >= 4 * len(one | other):
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
     assert rows(kept) == [r for i, r in enumerate(before) if label[i] == i]
 
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
