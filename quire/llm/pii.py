@@ -8,7 +8,7 @@ Base kinds, leftmost and non-overlapping within a kind, matches that fail their
 passed over: ``email``; ``ip`` (four parts, at most 255 each); ``card`` (12 to 19 digits passing
 Luhn); ``phone`` (+ and 9 to 15 digits).  Further kinds: ``userinfo`` (name and password in a
 URI), ``iban`` (check digits hold), ``account`` (a cue, then 8 to 17 digits) and ``ssn`` (a cue,
-then ddd-dd-dddd with no group of zeros).
+then ddd-dd-dddd with no group of zeros).  Whole texts are scanned, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 USERINFO = re.compile(r"://([^\s/@:]+:[^\s/@]+)@[A-Za-z0-9]")
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "social security")
-AFTER_CUE = r"[\x20]*(?:number|no\.?|nr\.?|num\.?|#)?[\x20]*[:=#]?[\x20]*"
+AFTER_CUE = r"\x20*+(?:number|no\.?|nr\.?|num\.?|#)?+\x20*+[:=#]?+\x20*+"  # never tried anew, so long blanks cost once
 IBAN = re.compile(AFTER_CUE + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 ACCOUNT = re.compile(AFTER_CUE + r"([0-9]{8,17})(?![0-9])")
 SSN = re.compile(AFTER_CUE + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")

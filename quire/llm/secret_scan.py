@@ -10,14 +10,16 @@ run begins behind ``=`` too, and parts of 16 or more that ``=`` divides are cand
 name in NAME=value is not measured with the value.  Its surrounding text, without it, and a dictionary of identifiers and code words prime a zstandard
 compressor; what the candidate adds to the compressed size, in bytes, over its length is its
 novelty.  Words, paths and identifiers are cheap there, random strings are not: novelty of
-``MIN_NOVELTY`` or more is reported as ``novel``.  Whole texts are scanned; the surroundings of one
-candidate are ``AROUND`` characters on either side.
+``MIN_NOVELTY`` or more is reported as ``novel``.  Whole texts are scanned, in time linear in their
+length; the surroundings of one candidate are ``AROUND`` characters on either side.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?!=)[A-Za-z0-9+/_=-]{16}")
 REST = re.compile(r"[A-Za-z0-9+/_=-]*")
 PART = re.compile(r"[A-Za-z0-9+/_-]{16,}=*")
-MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 CUE = re.compile(r"(?i:passwd|password|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?key|credential|authorization|bearer|signature|connection[ _-]?string)", re.ASCII)
 REACH, AROUND, MIN_NOVELTY = 64, 512, 0.7
 #: Characters of a private key's block at most.
@@ -76,7 +78,8 @@ class Finder:
             taken += [(*m.span(), "access") for m in ACCESS.finditer(text)]
         taken += [(*m.span(), "hex") for m in HEX.finditer(text)]
         yield from taken
-        done = 0
+        taken.sort()
+        begins, reach, done = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max)), 0
         for cue in CUE.finditer(text):
             at, limit = max(cue.end(), done), cue.end() + REACH
             if text.startswith("-----", cue.end()) and text.rfind("-----BEGIN ", max(0, cue.start() - 40), cue.start()) >= 0:
@@ -85,7 +88,10 @@ class Finder:
                 at = done = REST.match(text, m.end()).end()
                 parts = [p.span() for p in PART.finditer(text, m.start(), done)] or [(m.start(), done)]
                 for start, end in parts:
-                    if not MIXED.search(text, start, end) or any(s < end and start < e for s, e, _ in taken):
+                    if not (DIGIT.search(text, start, end) and LETTER.search(text, start, end)):
+                        continue
+                    at_most = bisect_left(begins, end)
+                    if at_most and reach[at_most - 1] > start:  # a base span overlaps
                         continue
                     if self.novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= self.min_novelty:
                         limit = max(limit, end + 2)
