@@ -14,8 +14,8 @@ how far words, word pairs and lines repeat.  Fitting reads a bounded sample, ``m
 ``max_unlabelled`` rows with the smallest id hashes; every text is scored.
 
 Defined results: null and empty texts have the features of an empty text and are scored; labels
-that are null are ignored; a document with several labels counts once for each; repeated rows get
-equal scores; with no positives or no unlabelled rows every score is the estimated prior.
+that are null are ignored, and such rows count as unlabelled; a document with several labels counts once for
+each; of rows with one id one is fitted on; repeated rows get equal scores; with no positives or no unlabelled rows every score is the estimated prior.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def is_held_out(id_col: Column) -> Column:
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = features_of(batch.column("body"))
-        yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array([row.tobytes() for row in made], pa.binary())], ["good", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("good"), pa.array([row.tobytes() for row in made], pa.binary())], ["id", "good", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
@@ -166,13 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         prior = (good + 1) / (n + 2)
     ids = docs.where(F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).select(F.col(id_col).alias("id")).distinct()
     some = seen.where("label = 1").join(ids, "id", "left_semi").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_positives).withColumn("good", F.lit(True))
-    others = ids.join(labels.select(F.col(id_col).alias("id")), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_unlabelled).withColumn("good", F.lit(False))
+    others = ids.join(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id")), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_unlabelled).withColumn("good", F.lit(False))
     chosen = some.unionByName(others).collect()  # bounded by max_positives + max_unlabelled
     if not chosen:
         return Model(prior)
     picked = spark.createDataFrame(chosen, some.schema)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(picked), "id").select("good", "body")
-    rows = texts.mapInArrow(_feature_batches, "good boolean, features binary").collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(picked), "id").select("id", "good", "body")
+    schema = T.StructType([texts.schema["id"], T.StructField("good", T.BooleanType()), T.StructField("features", T.BinaryType())])
+    rows = texts.mapInArrow(_feature_batches, schema).groupBy("id").agg(F.first("good").alias("good"), F.min("features").alias("features")).collect()  # one row an id
     made = {kind: np.frombuffer(b"".join(sorted(r["features"] for r in rows if r["good"] is kind)), np.float32).reshape(-1, WIDTH) for kind in (True, False)}
     return fit(made[True], made[False], prior)
 
