@@ -49,12 +49,7 @@ def prefix_bits(n: int) -> int:
 
 def _shingle_hashes(block: words.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of all shingles of a block, row after row, and how many each row has."""
-    keep = words.NOT_SPACE[block.data]
-    inner = np.setdiff1d(np.arange(len(block.starts)), block.bounds[:-1])
-    keep[block.starts[inner] - 1] = True  # one separator before each word but a row's first
-    place = np.cumsum(keep)
-    joined = np.where(words.NOT_SPACE, np.arange(256, dtype=np.uint8), np.uint8(32))[block.data[keep]].tobytes()
-    begin, end = place[block.starts] - 1, place[block.ends - 1]
+    joined, begin, end = words.joined(block)
     counts = np.diff(block.bounds)
     shingles = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     first = np.repeat(block.bounds[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(int(shingles.sum()))

@@ -9,16 +9,20 @@ that settle its place and name: wherever those words occur, it occurs.
 A window of ``width`` words stands under the smallest-hashed symbol of the highest level whose
 context lies within the window, keyed by the words of that context (by its own words, should no
 symbol fit, as in long runs).  Equal windows stand under equal keys, and about one word in four starts a
-new key.  So the work is:
+new key.  Neighbouring windows under one key make a *stretch*.  So the work is:
 
 1. documents are dealt into cells of about ``CELL_BYTES``; each cell sends its distinct keys, which
    meet by hash: keys of two documents or more come back to their cells;
-2. each cell sends the windows under those keys, once each, as 96-bit hashes with the smallest id
-   that holds them; for equal windows the smallest id overall comes back to cells that hold a larger;
-3. each cell removes the words of windows that start in a document with a smaller id.
+2. each cell sends the stretches under those keys, once each, as their words, with the smallest id that
+   holds them; where they meet, windows are told apart by their words, and the windows that a cell
+   holds with a larger id come back to it, again as words, with the smallest id overall;
+3. each cell looks its windows up among those, word for word, and removes the words of windows that
+   start in a document with a smaller id.
 
-Keys and windows travel as packed arrays, one row for each pair of cell and bucket, so a passage in
-a third of all documents is one entry a cell.  Equal 96-bit hashes stand for equal windows.
+Hashes only bring together what may be equal.  What is removed was compared as words twice, so no
+collision can remove a word.  Keys and stretches travel packed, one row for each pair of cell and bucket
+that has any, so a passage in a third of all documents is one entry a cell.  The bucket count follows
+the input's size alone.  Repeated rows are dealt by their input partition too, not all into one cell.
 
 Defined results: null and empty texts have no words; documents with fewer words than a window are
 whole; equal ids are not smaller than one another; a null id is larger than all others; an empty
@@ -36,10 +40,10 @@ from pyspark.sql import functions as F
 
 from quire.llm import words
 
-CELL_BYTES = 8 << 20
+CELL_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 LEVELS = 2
 NO_ID = np.iinfo(np.int64).max
-_CONTEXT, _WINDOW, _CHECK = words.RunHash(21), words.RunHash(22), words.RunHash(23)
+_CONTEXT, _WINDOW = words.RunHash(21), words.RunHash(22)
 _NAMES = [np.uint64(2 * n + 1) for n in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)]
 
 
@@ -114,19 +118,19 @@ def window_keys(names: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
     return first, keys
 
 
+def _cuts(numbers: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start, and the end."""
+    return np.concatenate([[0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)]]) if len(numbers) else np.zeros(1, np.int64)
+
+
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
-    """Ends of the n equal ranges of 64-bit hashes within ascending keys, from 0 on."""
-    edges = [(i << 64) // n for i in range(1, n)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(np.int64)
+    """Which of n equal ranges of 64-bit hashes each key is in."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(columns: dict[str, np.ndarray], cuts: np.ndarray, name: str, **fixed: int) -> pa.Table:
-    """A row for each non-empty range: its number as ``name``, and the arrays' parts as bytes."""
-    rows = np.flatnonzero(np.diff(cuts))
-    made = {name: pa.array(rows, pa.int64())} | {k: pa.array(np.full(len(rows), v), pa.int64()) for k, v in fixed.items()}
-    for key, values in columns.items():
-        made[key] = pa.array([values[cuts[r] : cuts[r + 1]].tobytes() for r in rows], pa.binary())
-    return pa.table(made)
+def _packed(arrays: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
+    """Each array's parts between cuts, as bytes."""
+    return [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()) for x in arrays]
 
 
 def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
@@ -147,7 +151,7 @@ def _blocks(table: pa.Table) -> Iterator[tuple[words.Block, np.ndarray]]:
         yield block, words.word_hashes(block)
 
 
-def _send_keys(table: pa.Table, width: int, cells: int) -> pa.Table:
+def _send_keys(table: pa.Table, width: int, buckets: int) -> pa.Table:
     """The distinct keys of a cell, and which are of two of its documents."""
     ids, found = _ids(table), []
     for block, names in _blocks(table):
@@ -162,7 +166,11 @@ def _send_keys(table: pa.Table, width: int, cells: int) -> pa.Table:
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     last = np.append(start[1:], len(keys)) - 1
     several = owners[start] != owners[last] if len(keys) else np.zeros(0, dtype=bool)
-    return _packed({"keys": keys[start], "several": several.astype(np.uint8)}, _buckets(keys[start], cells), "bucket", cell=table.column("cell")[0].as_py())
+    keys = keys[start]
+    bucket = _buckets(keys, buckets)
+    cuts = _cuts(bucket)
+    cell = np.full(len(cuts) - 1, table.column("cell")[0].as_py())
+    return pa.table([pa.array(bucket[cuts[:-1]]), pa.array(cell, pa.int64()), *_packed([keys, several.astype(np.uint8)], cuts)], names=["bucket", "cell", "keys", "several"])
 
 
 def _meet_keys(table: pa.Table) -> pa.Table:
@@ -174,88 +182,116 @@ def _meet_keys(table: pa.Table) -> pa.Table:
     shared |= np.bincount(place, weights=several, minlength=len(unique)) > 0
     mask = shared[place]
     order = np.argsort(cell[mask], kind="stable")
-    cells, at = np.unique(cell[mask][order], return_index=True)
-    cuts = np.append(at, int(mask.sum()))
-    out = _packed({"keys": keys[mask][order]}, cuts, "nth")
-    return pa.table({"cell": pa.array(cells[out.column("nth").to_numpy()], pa.int64()), "keys": out.column("keys")})
-
-
-def _windows(block: words.Block, first: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window, of 64 and 32 bits."""
-    a, b = _WINDOW.prefix(names), _CHECK.prefix(words.word_hashes(block, 1))
-    return _WINDOW.between(a, first, first + width), (_CHECK.between(b, first, first + width) >> np.uint64(32)).astype(np.uint32)
+    keys, cell = keys[mask][order], cell[mask][order]
+    cuts = _cuts(cell)
+    return pa.table([pa.array(cell[cuts[:-1]], pa.int64()), *_packed([keys], cuts)], names=["cell", "keys"])
 
 
-def _send_windows(table: pa.Table, marks: pa.Table, width: int, cells: int) -> pa.Table:
-    """The windows under shared keys, once each, with the smallest id in the cell."""
-    ids, shared, found = _ids(table), np.sort(_joined(marks, "keys", np.uint64)), []
-    for block, names in _blocks(table):
+def _send_stretches(table: pa.Table, marks: pa.Table, width: int, buckets: int) -> pa.Table:
+    """The distinct stretches under shared keys, with the smallest id that holds them in the cell and whether
+    another one does too."""
+    ids, shared = _ids(table), np.sort(_joined(marks, "keys", np.uint64))
+    found: dict[bytes, list[int]] = {}  # key, smallest id, largest id
+    for block, names in _blocks(table) if len(shared) else ():
         first, keys = window_keys(names, block.bounds, width)
-        if len(shared):
-            first = first[shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys]
-            one, two = _windows(block, first, names, width)
-            found.append((one, two, ids[np.searchsorted(block.bounds, first, side="right") - 1 + block.first]))
-    if not found:
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
-    one, two, owner = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((owner, two, one))
-    one, two, owner = one[order], two[order], owner[order]
-    start = _starts(one, two)
-    several = owner[start] != owner[np.append(start[1:], len(one)) - 1] if len(one) else np.zeros(0, dtype=bool)
-    columns = {"one": one[start], "two": two[start], "owner": owner[start], "several": several.astype(np.uint8)}
-    return _packed(columns, _buckets(columns["one"], cells), "bucket", cell=table.column("cell")[0].as_py() if table.num_rows else 0)
-
-
-def _starts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Where groups of equal pairs start, in sorted order."""
-    new = np.ones(len(one), dtype=bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    return np.flatnonzero(new)
-
-
-def _meet_windows(table: pa.Table) -> pa.Table:
-    """The smallest id of each window, for the cells that hold a larger one."""
-    one, two, owner = _joined(table, "one", np.uint64), _joined(table, "two", np.uint32), _joined(table, "owner", np.int64)
-    several = _joined(table, "several", np.uint8).astype(bool)
-    cell = table.column("cell").to_numpy()[_rows_of(table, "one", np.uint64)]
-    order = np.lexsort((owner, two, one))
-    one, two, owner, several, cell = one[order], two[order], owner[order], several[order], cell[order]
-    start = _starts(one, two)
-    least = np.repeat(owner[start], np.diff(np.append(start, len(one))))
-    tell = (least < owner) | several
-    one, two, least, cell = one[tell], two[tell], least[tell], cell[tell]
-    order = np.argsort(cell, kind="stable")  # hashes stay ascending within a cell
-    one, two, least, cell = one[order], two[order], least[order], cell[order]
-    cells, at = np.unique(cell, return_index=True)
-    out = _packed({"one": one, "two": two, "owner": least}, np.append(at, len(cell)), "nth")
-    return pa.table({"cell": pa.array(cells[out.column("nth").to_numpy()], pa.int64()), **{k: out.column(k) for k in ("one", "two", "owner")}})
+        mine = shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys
+        first, keys = first[mine], keys[mine]
+        row = np.searchsorted(block.bounds, first, side="right") - 1
+        new = np.ones(len(first), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (first[1:] != first[:-1] + 1) | (row[1:] != row[:-1])
+        begins = np.flatnonzero(new)
+        last = np.append(begins[1:], len(first)) - 1 if len(first) else begins
+        text, begin, end = words.joined(block)
+        owners = ids[row[begins] + block.first]
+        for a, b, key, owner in zip(begin[first[begins]].tolist(), end[first[last] + width - 1].tolist(), keys[begins].tolist(), owners.tolist(), strict=True):
+            held = found.setdefault(text[a:b], [key, owner, owner])
+            if owner < held[1]:
+                held[1] = owner
+            elif owner > held[2]:
+                held[2] = owner
+    stretches = sorted(found.items(), key=lambda x: x[1][0])
+    key = np.array([x[1][0] for x in stretches], np.uint64)
+    least, most = (np.array([x[1][i] for x in stretches], np.int64) for i in (1, 2))
+    bucket = _buckets(key, buckets)
+    cuts = _cuts(bucket)
+    cell = np.full(len(cuts) - 1, table.column("cell")[0].as_py() if table.num_rows else 0)
+    bodies = pa.array([b"\n".join(x[0] for x in stretches[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+    return pa.table([pa.array(bucket[cuts[:-1]]), pa.array(cell, pa.int64()), bodies, *_packed([least, (least != most).astype(np.uint8)], cuts)], names=["bucket", "cell", "bodies", "owner", "several"])
+
+
+def _parsed(bodies: list[bytes], width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches that newlines divide: their text, and of each of their windows the number of its stretch and
+    where it begins and ends."""
+    text = b"\n".join(bodies)
+    raw = np.frombuffer(text, np.uint8)
+    breaks = np.flatnonzero((raw == 32) | (raw == 10))
+    begin, end = np.append(0, breaks + 1), np.append(breaks, len(raw))
+    bounds = np.append(np.append(0, np.flatnonzero(raw[breaks] == 10) + 1), len(begin))
+    if not len(raw):
+        return text, *(np.zeros(0, np.int64),) * 3
+    first = words.window_starts(bounds, width)
+    return text, np.searchsorted(bounds, first, side="right") - 1, begin[first], end[first + width - 1]
+
+
+def _meet_stretches(table: pa.Table, width: int) -> pa.Table:
+    """The windows that a cell holds with a larger id than the smallest overall, as stretches again."""
+    owner, several = _joined(table, "owner", np.int64), _joined(table, "several", np.uint8).astype(bool)
+    cell = table.column("cell").to_numpy()[_rows_of(table, "owner", np.int64)]
+    text, stretch, begin, end = _parsed(table.column("bodies").to_pylist(), width)
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
+    least = np.full(len(number), NO_ID)
+    np.minimum.at(least, which, owner[stretch])
+    least = least[which]
+    tell = np.flatnonzero((least < owner[stretch]) | several[stretch])
+    tell = tell[np.argsort(cell[stretch[tell]], kind="stable")]
+    new = np.ones(len(tell), dtype=bool)
+    new[1:] = (tell[1:] != tell[:-1] + 1) | (stretch[tell[1:]] != stretch[tell[:-1]])
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(tell)) if len(tell) else begins
+    to = cell[stretch[tell[begins]]]
+    cuts = _cuts(to)
+    bodies = [text[a:b] for a, b in zip(begin[tell[begins]].tolist(), end[tell[ends - 1]].tolist(), strict=True)]
+    joined = pa.array([b"\n".join(bodies[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+    return pa.table([pa.array(to[cuts[:-1]], pa.int64()), joined, *_packed([least[tell]], np.append(begins, len(tell))[cuts])], names=["cell", "bodies", "owner"])
+
+
+def _hashes(bodies: list[bytes], width: int) -> np.ndarray:
+    """The hash of each window of stretches, as documents' windows are hashed."""
+    column, out = pa.array([b.decode() for x in bodies for b in x.split(b"\n")], pa.large_string()), []
+    for block in words.blocks(column, words.NOT_SPACE, lower=False):
+        first = words.window_starts(block.bounds, width)
+        out.append(_WINDOW.between(_WINDOW.prefix(words.word_hashes(block)), first, first + width))
+    return np.concatenate(out)
 
 
 def _remove(table: pa.Table, marks: pa.Table, width: int) -> pa.Table:
-    ids = _ids(table)
-    one, two, least = _joined(marks, "one", np.uint64), _joined(marks, "two", np.uint32), _joined(marks, "owner", np.int64)
-    order = np.argsort(one, kind="stable")
-    one, two, least = one[order], two[order], least[order]
-    n_words, n_removed, bodies = [], [], []
+    ids, bodies = _ids(table), [x for x in marks.column("bodies").to_pylist() if x]
+    text, _, begin, end = _parsed(bodies, width)
+    earlier = dict(zip((text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)), _joined(marks, "owner", np.int64).tolist(), strict=True))
+    known = np.unique(_hashes(bodies, width)) if len(begin) else np.zeros(0, np.uint64)
+    n_words, n_removed, kept = [], [], []
     for block, names in _blocks(table):
         gone = np.zeros(len(names) + 1, np.int64)
-        if len(one):
+        if len(known):
             first = words.window_starts(block.bounds, width)
-            a, b = _windows(block, first, names, width)
-            place = np.minimum(np.searchsorted(one, a), len(one) - 1)
+            hashes = _WINDOW.between(_WINDOW.prefix(names), first, first + width)
+            first = first[known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes]
+            body, begin, end = words.joined(block)
             owner = ids[np.searchsorted(block.bounds, first, side="right") - 1 + block.first]
-            hit = first[(one[place] == a) & (two[place] == b) & (least[place] < owner)]
+            smallest = np.fromiter((earlier.get(body[a:b], NO_ID) for a, b in zip(begin[first].tolist(), end[first + width - 1].tolist(), strict=True)), np.int64, len(first))
+            hit = first[smallest < owner]
             gone[hit] += 1
             np.subtract.at(gone, hit + width, 1)
         gone = np.cumsum(gone[:-1]) > 0
         total = np.append(0, np.cumsum(gone))
         n_words.append(np.diff(block.bounds))
         n_removed.append(total[block.bounds[1:]] - total[block.bounds[:-1]])
-        bodies.append(_kept_text(block, ~gone))
+        kept.append(_kept_text(block, ~gone))
     if not n_words:
         return _RESULT.empty_table()
     return pa.table(
-        [table.column("id").combine_chunks(), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.chunked_array(bodies, pa.string())],
+        [table.column("id").combine_chunks(), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.chunked_array(kept, pa.string())],
         schema=_RESULT,
     )
 
@@ -279,24 +315,27 @@ def _kept_text(block: words.Block, keep: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(block.rows, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[mask].tobytes()))
 
 
-def dedup_substrings(docs: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col: str = "text", cell_bytes: int = CELL_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col: str = "text", cell_bytes: int = CELL_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(id, n_words, n_removed, kept)``; ``kept`` is the words that stay, joined by one blank."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     total = source.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
-    cells = int(total // cell_bytes) + 1
-    dealt = source.withColumn("cell", F.pmod(F.xxhash64("id", "body"), F.lit(cells))).repartition("cell")
+    cells, buckets = int(total // cell_bytes) + 1, int(total // bucket_bytes) + 1
+    dealt = source.withColumn("cell", F.pmod(F.xxhash64("id", "body", F.spark_partition_id()), F.lit(cells))).repartition("cell")
 
     def send_keys(table):
-        return _send_keys(table, width, cells)
+        return _send_keys(table, width, buckets)
+
+    def send_stretches(table, marks):
+        return _send_stretches(table, marks, width, buckets)
 
-    def send_windows(table, marks):
-        return _send_windows(table, marks, width, cells)
+    def meet_stretches(table):
+        return _meet_stretches(table, width)
 
     def remove(table, marks):
         return _remove(table, marks, width)
 
     keys = dealt.groupBy("cell").applyInArrow(send_keys, "bucket long, cell long, keys binary, several binary")
     shared = keys.groupBy("bucket").applyInArrow(_meet_keys, "cell long, keys binary")
-    windows = dealt.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(send_windows, "bucket long, cell long, one binary, two binary, owner binary, several binary")
-    earlier = windows.groupBy("bucket").applyInArrow(_meet_windows, "cell long, one binary, two binary, owner binary")
+    stretches = dealt.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(send_stretches, "bucket long, cell long, bodies binary, owner binary, several binary")
+    earlier = stretches.groupBy("bucket").applyInArrow(meet_stretches, "cell long, bodies binary, owner binary")
     return dealt.groupBy("cell").cogroup(earlier.groupBy("cell")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string")

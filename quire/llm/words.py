@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
@@ -138,13 +139,27 @@ def blocks(column: pa.Array, word_bytes: np.ndarray, lower: bool) -> Iterator[Bl
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_WORD_RUNS = (RunHash(1), RunHash(2))
-
-
-def word_hashes(block: Block, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; ``which`` selects one of two independent families."""
-    runs = _WORD_RUNS[which]
-    return runs.between(runs.prefix(_BYTES[block.data]), block.starts, block.ends)
+_WORD_RUN, LONG_WORD = RunHash(1), 64
+
+
+def word_hashes(block: Block) -> np.ndarray:
+    """A 64-bit hash of each word's bytes.  Polynomials modulo a power of two are weak on long runs, so
+    words of over ``LONG_WORD`` bytes are hashed by XXH3.  Equal hashes prove nothing; users compare words."""
+    made = _WORD_RUN.between(_WORD_RUN.prefix(_BYTES[block.data]), block.starts, block.ends)
+    for i in np.flatnonzero(block.ends - block.starts > LONG_WORD).tolist():
+        made[i] = xxhash.xxh3_64_intdigest(block.data[block.starts[i] : block.ends[i]].tobytes())
+    return made
+
+
+def joined(block: Block) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The block's words with one blank between two of a row, none between rows, and where each begins
+    and ends there.  For words of ``NOT_SPACE``."""
+    keep = NOT_SPACE[block.data]
+    inner = np.setdiff1d(np.arange(len(block.starts)), block.bounds[:-1])
+    keep[block.starts[inner] - 1] = True
+    place = np.cumsum(keep)
+    text = np.where(NOT_SPACE, np.arange(256, dtype=np.uint8), np.uint8(32))[block.data[keep]].tobytes()
+    return text, place[block.starts] - 1, place[block.ends - 1]
 
 
 def row_of_words(block: Block) -> np.ndarray:

@@ -4,11 +4,12 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import ann, components, queries, simhash, similar, substring_dedup
+from quire.llm import ann, components, queries, simhash, similar, substring_dedup, words
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -47,7 +48,7 @@ def check_dedup(docs, **options):
 
 def test_substring_dedup_matches_brute_force(edge_docs, no_docs, real_docs):
     check_dedup(edge_docs)
-    check_dedup(edge_docs, cell_bytes=2000)
+    check_dedup(edge_docs, cell_bytes=2000, bucket_bytes=300)
     check_dedup(real_docs.limit(120), cell_bytes=20000)
     assert substring_dedup.dedup_substrings(no_docs).count() == 0
 
@@ -61,6 +62,46 @@ def test_substring_dedup_over_few_words(spark):
         check_dedup(docs, width=width, cell_bytes=500)
 
 
+def complement(n):
+    """Two words of 2 ** n letters that collide under every polynomial modulo a power of two, if n >= 10."""
+    one = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[x] for x in one), "".join("ba"[x] for x in one)
+
+
+def test_words_that_collide_are_told_apart(spark):
+    a, b = complement(11)
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, " ".join([b, *rest])), (4, " ".join([a, b] * 10)), (5, " ".join([b, a] * 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {r["id"]: r["n_removed"] for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert made == {1: 0, 2: 0, 3: 13, 4: 0, 5: 20}
+    check_dedup(docs)
+
+
+def test_no_hash_is_trusted(spark, monkeypatch):
+    """Even if all hashes of a kind are equal, only equal words go."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choice(complement(10)) if rnd.random() < 0.2 else rnd.choice("abc") for _ in range(rnd.randrange(40)))) for i in range(40)]
+    table = pa.table({"id": pa.array([i for i, _ in rows]), "body": pa.array([t for _, t in rows]), "cell": pa.array([0] * len(rows))})
+    want = sorted((str(i), *x) for (i, _), x in zip(rows, plain_dedup(rows, 3)))
+    for weak in (None, "word_hashes", "between"):
+        if weak == "word_hashes":
+            monkeypatch.setattr(words, "word_hashes", lambda block: np.full(len(block.starts), 7, np.uint64))
+        if weak == "between":
+            monkeypatch.setattr(words.RunHash, "between", lambda self, prefix, starts, ends: np.full(len(starts), 5, np.uint64))
+        keys = substring_dedup._meet_keys(substring_dedup._send_keys(table, 3, 4))
+        sent = substring_dedup._send_stretches(table, keys, 3, 4)
+        made = substring_dedup._remove(table, substring_dedup._meet_stretches(sent, 3), 3)
+        assert sorted((str(r["id"]), r["n_words"], r["n_removed"], r["kept"]) for r in made.to_pylist()) == want
+
+
+def test_repeated_rows_are_dealt_over_cells(spark):
+    body = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, body)] * 300 + [(2, body)] * 300, "doc_id long, text string").repartition(8)
+    made = substring_dedup.dedup_substrings(docs, cell_bytes=20000, bucket_bytes=5000)
+    assert {(r["id"], r["n_removed"]): r["n"] for r in made.groupBy("id", "n_removed").agg(F.count("*").alias("n")).collect()} == {(1, 0): 300, (2, 200): 300}
+
+
 def test_equal_windows_stand_under_equal_keys():
     rnd = np.random.default_rng(1)
     shared = rnd.integers(0, 6, 40)
