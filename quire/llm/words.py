@@ -151,14 +151,14 @@ def word_hashes(block: Block) -> np.ndarray:
     return made
 
 
-def joined(block: Block) -> tuple[bytes, np.ndarray, np.ndarray]:
+def joined(block: Block, word_bytes: np.ndarray = NOT_SPACE) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The block's words with one blank between two of a row, none between rows, and where each begins
-    and ends there.  For words of ``NOT_SPACE``."""
-    keep = NOT_SPACE[block.data]
+    and ends there."""
+    keep = word_bytes[block.data]
     inner = np.setdiff1d(np.arange(len(block.starts)), block.bounds[:-1])
     keep[block.starts[inner] - 1] = True
     place = np.cumsum(keep)
-    text = np.where(NOT_SPACE, np.arange(256, dtype=np.uint8), np.uint8(32))[block.data[keep]].tobytes()
+    text = np.where(word_bytes, np.arange(256, dtype=np.uint8), np.uint8(32))[block.data[keep]].tobytes()
     return text, place[block.starts] - 1, place[block.ends - 1]
 
 

@@ -1,6 +1,7 @@
 """Classifier, spans, decontamination and line dedup against plain versions."""
 
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -228,6 +229,43 @@ def test_decontamination_matches_a_plain_scan(spark, edge_docs, no_docs):
 # line dedup
 
 
+def test_several_sets_read_the_documents_once(spark, edge_docs):
+    """Sets one after the other give what one set gives, whatever the order and overlap of their hits."""
+    items = [(f"i{k}", " ".join(f"word{i}" for i in range(k, k + 13 + k % 5))) for k in range(0, 45, 2)] + [("i0", "one two three"), (None, "five"), ("z", "word7 " * 13)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(map(str, decontaminate.find_hits(edge_docs, benchmark).collect()))
+    split = decontaminate.find_hits(edge_docs, benchmark, block_bytes=200)
+    assert sorted(map(str, split.collect())) == whole
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and any("i2" in row for row in whole)
+
+
+def test_a_full_set_stays_small():
+    rnd, size, items = random.Random(4), 0, []
+    while size < decontaminate.BLOCK_BYTES:
+        text = " ".join(f"w{rnd.randrange(5000)}" for _ in range(200))
+        items.append((f"item{len(items)}", text))
+        size += len(text)
+    built = decontaminate.WindowSet(items, 13)
+    assert len(built.widths[13].hashes) > 0.9 * sum(max(1, t.count(" ") - 11) for _, t in items)
+    assert len(pickle.dumps(built)) < 40 << 20 and built.nbytes() < 40 << 20
+    small = decontaminate.WindowSet([("x", "a " * 40), ("y", "a " * 14), ("x", "a b"), (None, "a b"), ("y", "")], 13)
+    assert {w: len(k.hashes) for w, k in small.widths.items()} == {13: 1, 2: 1}
+    assert [small.ids[o] for o in small.widths[13].owners] == ["x", "y"]
+    spelled = "q " + items[7][1] + " r"
+    counts, hits = decontaminate.scan(pa.array([spelled, None, "none of it"]), built)
+    assert counts == [202, 0, 3] and list(hits) == [0]
+    assert decontaminate.merged(hits[0][0]) == [(1, 201)] and hits[0][1] == {"item7"}
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words.RunHash, "between", lambda self, prefix, starts, ends: np.full(len(starts), 9, np.uint64))
+    built = decontaminate.WindowSet([("x", "one two"), ("y", "three four"), ("z", "one two")], 2)
+    assert len(built.widths[2].hashes) == 2
+    _, hits = decontaminate.scan(pa.array(["five three four", "two one", "One, two"]), built)
+    assert {row: (spans, items) for row, (spans, items) in hits.items()} == {0: ([(1, 3)], {"y"}), 2: ([(0, 2)], {"x", "z"})}
+
+
 def plain_line_dedup(rows, width=3):
     """``rows`` of (id, text) in order; what is left of each text."""
     first, places = {}, []
