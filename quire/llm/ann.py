@@ -1,22 +1,28 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
-Index.  Equal vectors are one node, with its smallest ids.  Inner products become cosines by one
-more component that brings all nodes to the longest one's length (queries have zero there).  A first
-graph comes from random partitions: trees of hyperplanes fitted on a bounded sample deal the nodes
-into parts, each part is halved further where it lies, and nodes of a leaf are compared.  NN-descent
-then improves it: in each round a node's neighbours, to and from it, are joined at that node, its
-neighbours of neighbours are compared with one another, and every node keeps its best ``degree``.
-Vectors travel as bytes of 8 bits a component while the graph is built.
-
-Search.  Each query starts at the nearest of a bounded sample of nodes and at its own node, if it is
-one; in every round it visits the best nodes it hasn't visited, by a join with the stored graph, and
-keeps the ``beam`` best seen; it ends when all of those are visited.  The beam's nodes are scored
-exactly, in double precision on the original vectors, and their ids are ranked.
-
-Defined results: vectors that are null, zero, or hold a null or non-finite component take no part,
-nor do those whose dimension isn't the most frequent one; equal vectors are ranked by id; equal ids
-count as rows of their own, except that a query never meets its own id; an empty table has no rows.
-Whatever grows with the table stays in Spark: the driver sees the sample only.
+Index.  Equal vectors are one node, with its smallest ids.  Nodes are dealt into *bands* of lengths within a
+factor of ``FACTOR`` (all below ``2 ** -SHORT`` of the longest are one), since among vectors of about one
+length cosines order inner products.  Each band has a graph of its own.  It starts from a few random
+partitions: trees of hyperplanes fitted on a bounded sample deal a band's nodes into parts, parts that came out
+too large are dealt further at random, and nodes of a small leaf are compared.  NN-descent then improves it: in
+each round a node's neighbours, to and from it, are joined at that node, its neighbours of neighbours are
+compared with one another, and every node keeps its best ``degree``; rounds end when fewer than ``SETTLED`` of
+the edges change.  Directions travel as 8 bits a component, lengths as floats beside them.
+
+Search.  In each band that can hold one of its nearest (its longest vector tells), a query starts at the
+nearest of a bounded sample of nodes and at its own node, if that is one; in every round it visits the best
+nodes it hasn't visited, by a join with the stored graph, and keeps the ``beam`` best seen; it ends when all of
+those are visited.  The beams' nodes are scored exactly, in double precision on the original vectors, and their
+ids are ranked.
+
+Recall is measured on each table: ``PROBES`` queries are compared with every node, and while fewer than
+``TARGET`` of their nearest were found, the beam doubles and the search goes on.  So the settings follow the
+table; nothing ends at a fixed number of rounds.
+
+Defined results: vectors that are null, zero, or hold a null or non-finite component take no part; vectors
+of several dimensions are tables of their own, as products across them mean nothing; equal vectors are
+ranked by id; equal ids count as rows of their own, except that a query never meets its own id; an empty
+table has no rows.  Whatever grows with the table stays in Spark: the driver sees samples only.
 """
 
 from __future__ import annotations
@@ -30,21 +36,24 @@ from pyspark.sql import functions as F
 
 from quire.llm import storage
 
-#: Graph: neighbours a node, trees, nodes a leaf, rounds of NN-descent; nodes of a part at most, by
-#: the sample's estimate; bound of the sample.
-DEGREE, TREES, LEAF, ROUNDS, PART, SAMPLE = 48, 8, 1024, 3, 8192, 16384
-#: Search: neighbours of a node that it looks at, each way; nodes kept for each query, nodes visited
-#: in a round, entries, rounds at most.
-LINKS, BEAM, VISITS, ENTRIES, MOST_ROUNDS = 24, 128, 32, 8, 24
+#: Bands of lengths.
+FACTOR, SHORT = 1.25, 6
+#: Graph: neighbours a node, trees, nodes a leaf, nodes of a part at most, bound of a band's sample.
+DEGREE, TREES, LEAF, PART, SAMPLE = 48, 3, 256, 8192, 16384
+#: NN-descent: neighbours of a node that are joined at it, each way; pairs sent for each of them; share
+#: of edges that may still change at the end.
+JOINED, SENT, SETTLED = 32, 12, 0.02
+#: Search: neighbours of a node that it looks at, each way; nodes kept for each query, nodes visited in a
+#: round, entries of a query and of a band.
+LINKS, BEAM, VISITS, ENTRIES, ENTRANCES = 32, 128, 64, 8, 2048
+PROBES, TARGET = 64, 0.95
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vector)`` of the rows that take part; -0.0 becomes 0.0."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
     rows = rows.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = sizes[0]["n"] if sizes else 0
-    return rows.where(F.size("vector") == dim).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
+    return rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
 
 
 def nodes_of(rows: DataFrame, members: int) -> DataFrame:
@@ -59,29 +68,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal sizes, as rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _bytes(unit: np.ndarray) -> np.ndarray:
-    return np.rint(unit * 127).astype(np.int8)
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(rows)
+def _encoded(x: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A direction in 8 bits a component, then a length as a float."""
+    direction = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    raw = np.concatenate([direction.view(np.uint8), lengths.astype("<f4")[:, None].view(np.uint8)], axis=1)
     return pa.array([row.tobytes() for row in raw], pa.binary())
 
 
-def _from_binary(column: pa.Array, dim: int) -> np.ndarray:
-    """Vectors of 8 bits a component, as unit rows."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-    return raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1)
+def _decoded(column: pa.Array | bytes, dim: int, lengths: bool = False) -> np.ndarray:
+    """Directions as unit rows, times their lengths if wanted."""
+    raw = np.frombuffer(column if isinstance(column, bytes) else b"".join(column.to_pylist()), np.uint8).reshape(-1, dim + 4)
+    x = raw[:, :dim].view(np.int8).astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    return x * np.ascontiguousarray(raw[:, dim:]).view("<f4") if lengths else x
 
 
 def _encode(batches: Iterator[pa.RecordBatch], longest: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = _matrix(batch.column("vector")) / longest
-        rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), _binary(_bytes(np.concatenate([x, rest], axis=1)))], ["node", "code"])
+        x = _matrix(batch.column("vector"))
+        largest = np.abs(x).max(axis=1, keepdims=True)
+        share = np.minimum(np.linalg.norm(x / largest, axis=1) * (largest[:, 0] / longest), 1)
+        band = np.minimum(np.floor(-np.log(np.maximum(share, 1e-300)) / np.log(FACTOR)), np.floor(SHORT * np.log(2) / np.log(FACTOR)))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(band.astype(np.int32)), _encoded(x, share)], ["node", "band", "code"])
 
 
 class Tree:
@@ -101,11 +112,19 @@ class Tree:
         plane = _plane(sample, rng)
         side = sample @ plane
         cut = float(np.median(side))
+        left = side <= cut
+        if left.all():  # more than half lie on the cut
+            left = side < cut
+            cut = float(np.nextafter(np.float32(cut), np.float32(-np.inf)))
+        if not left.any():  # all alike: no plane parts them, chance will
+            self.leaves += 1
+            return -self.leaves
         at = len(self.planes)
         self.planes.append(plane)
         self.cuts.append(cut)
         self.children.append([0, 0])
-        self.children[at] = [self._grow(sample[side <= cut], total / 2, part, rng), self._grow(sample[side > cut], total / 2, part, rng)]
+        share = float(left.mean())
+        self.children[at] = [self._grow(sample[left], total * share, part, rng), self._grow(sample[~left], total * (1 - share), part, rng)]
         return at
 
     def place(self, x: np.ndarray) -> np.ndarray:
@@ -123,12 +142,16 @@ def _plane(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return a - b if (a != b).any() else rng.normal(size=x.shape[1]).astype(np.float32)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], trees: list[Tree], dim: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], trees: dict[int, list[Tree]], dim: int) -> Iterator[pa.RecordBatch]:
+    """Each node once for each tree of its band, under the tree's part."""
     for batch in batches:
-        x = _from_binary(batch.column("code"), dim)
-        for number, tree in enumerate(trees):
-            parts = tree.place(x) + (number << 40)
-            yield pa.RecordBatch.from_arrays([pa.array(parts), batch.column("node"), batch.column("code")], ["part", "node", "code"])
+        x, band = _decoded(batch.column("code"), dim), batch.column("band").to_numpy()
+        for number in np.unique(band).tolist():
+            rows = np.flatnonzero(band == number)
+            own = batch.take(pa.array(rows))
+            for at, tree in enumerate(trees[number]):
+                part = tree.place(x[rows]) + ((number << 8) + at << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(part), own.column("node"), own.column("code")], ["part", "node", "code"])
 
 
 def _best(rows: np.ndarray, sims: np.ndarray, ids: np.ndarray, degree: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,14 +169,15 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(s, pa.float32())})
 
 
-def _compare_leaves(table: pa.Table, dim: int, degree: int, leaf: int) -> pa.Table:
+def _compare_leaves(table: pa.Table, dim: int, degree: int) -> pa.Table:
     """Halves a part until leaves are small and links each node to its best in the leaf."""
-    ids, x = table.column("node").to_numpy(), _from_binary(table.column("code"), dim)
-    part = table.column("part")[0].as_py()
-    rng, todo, out = np.random.default_rng([part >> 40, part % (1 << 40)]), [np.arange(len(ids))], []
+    order = np.argsort(table.column("node").to_numpy())
+    ids, x = table.column("node").to_numpy()[order], _decoded(table.column("code"), dim)[order]
+    rng = np.random.default_rng([table.column("part")[0].as_py() >> 40, int(ids[0]) % (1 << 32)])
+    todo, out = [np.arange(len(ids))], []
     while todo:
         rows = todo.pop()
-        if len(rows) > leaf:
+        if len(rows) > LEAF:
             side = x[rows] @ _plane(x[rows], rng)
             half = np.argsort(side, kind="stable")
             todo += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
@@ -164,36 +188,20 @@ def _compare_leaves(table: pa.Table, dim: int, degree: int, leaf: int) -> pa.Tab
     return _edges(out)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows of one key after another, from batches that are sorted by it."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        at = 0
-        for cut in cuts:
-            if rest and rest[-1].column(key)[0].as_py() != keys[at]:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            rest.append(batch.slice(at, cut - at))
-            at = cut
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def _local_join(batches: Iterator[pa.RecordBatch], dim: int, degree: int) -> Iterator[pa.RecordBatch]:
-    """Compares the neighbours that meet at one node; a pair is kept for the end that it improves."""
+def _local_join(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Compares the neighbours that meet at one node, of which one at least is new to it; a pair is kept for
+    the end that it improves."""
     out, size = [], 0
-    for table in _groups(batches, "center"):
-        ids, worst = table.column("member").to_numpy(), table.column("worst").to_numpy()
-        ids, at = np.unique(ids, return_index=True)
-        x, worst = _from_binary(table.column("code"), dim)[at], worst[at]
+    for table in storage.groups(batches, "center"):
+        fresh = table.column("fresh").to_numpy(zero_copy_only=False)
+        if not fresh.any():
+            continue
+        ids, at = np.unique(table.column("member").to_numpy(), return_index=True)
+        x, worst, fresh = _decoded(table.column("code"), dim)[at], table.column("worst").to_numpy()[at], fresh[at]
         sims = x @ x.T
         np.fill_diagonal(sims, -np.inf)
-        sims[sims <= worst[:, None]] = -np.inf
-        out += _best(ids, sims, ids, degree)
+        sims[(sims <= worst[:, None]) | ~(fresh[:, None] | fresh[None])] = -np.inf
+        out += _best(ids, sims, ids, SENT)
         size += 1
         if size % 512 == 0:
             yield from _edges(out).to_batches()
@@ -202,75 +210,99 @@ def _local_join(batches: Iterator[pa.RecordBatch], dim: int, degree: int) -> Ite
         yield from _edges(out).to_batches()
 
 
+def _ranked(edges: DataFrame, by: str, other: str, n: int) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("sim"), other))
+    return edges.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+
+
 def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
-    """The best ``degree`` edges of each node, an edge once."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    ranked = once.withColumn("_nth", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
-    return ranked.where(F.col("_nth") <= degree).drop("_nth")
+    """The best ``degree`` edges of each node, an edge once; ``fresh`` are those that were not there."""
+    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    return _ranked(once, "u", "v", degree)
 
 
-def _both_ways(edges: DataFrame, degree: int) -> DataFrame:
-    """``(center, member)``: each node's neighbours, and the best ``degree`` nodes it is one of."""
-    back = edges.withColumn("_nth", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("_nth") <= degree)
-    return edges.select(F.col("u").alias("center"), F.col("v").alias("member")).union(back.select("v", "u")).distinct()
+def _both_ways(edges: DataFrame, n: int) -> DataFrame:
+    """``(center, member, fresh)``: each node's best ``n`` neighbours, and the best ``n`` it is one of."""
+    there = _ranked(edges, "u", "v", n).select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh")
+    back = _ranked(edges, "v", "u", n).select(F.col("v").alias("center"), F.col("u").alias("member"), "fresh")
+    return there.unionByName(back).groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
 
 
-def build_graph(codes: DataFrame, total: int, dim: int, *, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
-    """``(u, v, sim)``: each node's neighbours by NN-descent.  ``codes`` is a stored table."""
-    rng = np.random.default_rng(5)
-    some = codes.orderBy(F.xxhash64("node"), "node").limit(sample).collect()  # bounded by the parameter
-    x = _from_binary(pa.array([r["code"] for r in some], pa.binary()), dim)
-    planted = [Tree(x, total, PART, rng) for _ in range(trees)]
+def build_graph(codes: DataFrame, dim: int, *, degree: int = DEGREE, trees: int = TREES, sample: int = SAMPLE, rounds: int | None = None) -> DataFrame:
+    """``(u, v, sim)``: each node's neighbours of its band by NN-descent, ``rounds`` rounds or, if None, until it
+    settles.  ``codes`` is a stored table ``(node, band, code)``."""
+    spark, rng = codes.sparkSession, np.random.default_rng(5)
+    sizes = {r["band"]: r["n"] for r in codes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a few dozen
+    planted = {}
+    for band, n in sorted(sizes.items()):
+        some = codes.where(F.col("band") == band).orderBy(F.xxhash64("node"), "node").limit(sample).collect() if n > PART else []  # bounded by the parameter
+        x = _decoded(b"".join(r["code"] for r in some), dim) if some else np.zeros((0, dim), np.float32)
+        planted[band] = [Tree(x, n, PART, rng) for _ in range(trees if n > LEAF else 1)]
 
     def deal(batches):
         return _deal(batches, planted, dim)
 
     def compare(table):
-        return _compare_leaves(table, dim, degree, LEAF)
+        return _compare_leaves(table, dim, degree)
 
     def join(batches):
-        return _local_join(batches, dim, degree)
-
-    first = codes.mapInArrow(deal, "part long, node long, code binary").groupBy("part").applyInArrow(compare, "u long, v long, sim float")
-    edges, path = storage.write_table(_keep_best(first, degree), "graph")
-    for _ in range(rounds):
+        return _local_join(batches, dim)
+
+    dealt, dealt_path = storage.write_table(codes.mapInArrow(deal, "part long, node long, code binary"), "parts")
+    large = dealt.groupBy("part").agg(F.ceil(F.count("*") / PART).alias("pieces"))
+    dealt = dealt.join(large, "part").withColumn("piece", F.pmod(F.xxhash64("node", "part"), "pieces"))
+    first = dealt.groupBy("part", "piece").applyInArrow(compare, "u long, v long, sim float")
+    edges, path = storage.write_table(_keep_best(first.withColumn("fresh", F.lit(True)), degree), "graph")
+    storage.drop_table(spark, dealt_path)
+    done = 0
+    while rounds is None or done < rounds:
         worst = edges.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
         known = codes.join(worst, codes["node"] == worst["u"], "left").select("node", "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
-        met = _both_ways(edges, degree).join(known, F.col("member") == F.col("node")).select("center", "member", "worst", "code")
+        met = _both_ways(edges, JOINED).join(known, F.col("member") == F.col("node")).select("center", "member", "fresh", "worst", "code")
         found = met.repartition("center").sortWithinPartitions("center").mapInArrow(join, "u long, v long, sim float")
-        better, new_path = storage.write_table(_keep_best(edges.unionByName(found), degree), "graph")
-        storage.drop_table(codes.sparkSession, path)
-        edges, path = better, new_path
-    return edges
+        both = edges.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
+        better, new_path = storage.write_table(_keep_best(both, degree), "graph")
+        storage.drop_table(spark, path)
+        edges, path, done = better, new_path, done + 1
+        total, changed = edges.agg(F.count("*"), F.sum(F.col("fresh").cast("long"))).first()
+        if (changed or 0) <= SETTLED * total:
+            break
+    return edges.drop("fresh")
 
 
-def _approach(batches: Iterator[pa.RecordBatch], entries: np.ndarray, entry_ids: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
-    """The nearest entries of each query."""
+def _approach(batches: Iterator[pa.RecordBatch], entries: np.ndarray, ids: np.ndarray, bands: np.ndarray, tops: dict[int, float], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The nearest entries of each query in each band whose longest vector could make one of the ``k`` nearest."""
     for batch in batches:
-        q = _from_binary(batch.column("query"), dim)
+        q = _decoded(batch.column("query"), dim)
         sims = q @ entries.T
-        k = min(ENTRIES, len(entry_ids))
-        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        q_ids = np.repeat(batch.column("q").to_numpy(), k)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(entry_ids[top].reshape(-1)), pa.array(np.take_along_axis(sims, top, axis=1).reshape(-1))], ["q", "node", "sim"])
+        bound = -np.partition(-sims, k, axis=1)[:, k] if sims.shape[1] > k else np.full(len(q), -np.inf)  # k of them are others
+        for band, top in tops.items():
+            own = np.flatnonzero(bands == band)
+            rows = np.flatnonzero(top * 1.02 >= bound)
+            here = sims[np.ix_(rows, own)]
+            n = min(ENTRIES, len(own))
+            best = np.argpartition(-here, n - 1, axis=1)[:, :n]
+            q_ids = np.repeat(batch.column("q").to_numpy()[rows], n)
+            made = [pa.array(q_ids), pa.array(np.full(len(q_ids), band, np.int32)), pa.array(ids[own[best]].reshape(-1)), pa.array(np.take_along_axis(here, best, axis=1).reshape(-1))]
+            yield pa.RecordBatch.from_arrays(made, ["q", "band", "node", "sim"])
 
 
 def _visit(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     """The neighbours of visited nodes that beat the worst of a full beam."""
     for batch in batches:
-        q = _from_binary(batch.column("query"), dim)
+        q = _decoded(batch.column("query"), dim)
         near = batch.column("near").to_pylist()
         sizes = np.array([len(n) // 8 for n in near])
         ids = np.frombuffer(b"".join(near), np.int64)
-        x = _from_binary(batch.column("codes"), dim)
         rows = np.repeat(np.arange(len(q)), sizes)
-        sims = np.einsum("ij,ij->i", q[rows], x)
+        sims = np.einsum("ij,ij->i", q[rows], _decoded(batch.column("codes"), dim, lengths=True))
         keep = sims > batch.column("worst").to_numpy()[rows]
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column("q").to_numpy()[rows[keep]]), pa.array(ids[keep]), pa.array(sims[keep].astype(np.float32))], ["q", "node", "sim"])
+        made = [pa.array(batch.column("q").to_numpy()[rows[keep]]), pa.array(batch.column("band").to_numpy()[rows[keep]]), pa.array(ids[keep]), pa.array(sims[keep].astype(np.float32))]
+        yield pa.RecordBatch.from_arrays(made, ["q", "band", "node", "sim"])
 
 
-def _adjacency(edges: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
-    """``(node, near, codes)``: each node's neighbours both ways, their ids and vectors as bytes."""
+def _adjacency(edges: DataFrame, codes: DataFrame, links: int) -> DataFrame:
+    """``(node, near, codes)``: each node's neighbours both ways, their ids and codes as bytes."""
 
     def collect(batches):
         rows = []
@@ -278,7 +310,7 @@ def _adjacency(edges: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["node", "near", "codes"])
 
-        for table in _groups(batches, "center"):
+        for table in storage.groups(batches, "center"):
             rows.append((table.column("center")[0].as_py(), table.column("member").to_numpy().astype("<i8").tobytes(), b"".join(table.column("code").to_pylist())))
             if len(rows) == 1024:
                 yield flush()
@@ -286,45 +318,52 @@ def _adjacency(edges: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
         if rows:
             yield flush()
 
-    met = _both_ways(edges, degree).join(codes, F.col("member") == F.col("node")).select("center", "member", "code")
+    met = _both_ways(edges.withColumn("fresh", F.lit(False)), links).join(codes, F.col("member") == F.col("node")).select("center", "member", "code")
     return met.repartition("center").sortWithinPartitions("center", "member").mapInArrow(collect, "node long, near binary, codes binary")
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dim: int, *, beam: int = BEAM, sample: int = SAMPLE // 8) -> DataFrame:
-    """``(q, node)``: up to ``beam`` nodes for each of ``queries`` ``(q, query)``.  ``graph`` is a
-    stored adjacency table, ``codes`` and ``queries`` are stored tables."""
-    spark = codes.sparkSession
-    some = codes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).collect()  # bounded by the parameter
-    entries = _from_binary(pa.array([r["code"] for r in some], pa.binary()), dim)
-    entry_ids = np.array([r["node"] for r in some], np.int64)
+def enter(codes: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    """``(q, band, node, sim, visited)``: where the search of each query ``(q, query)`` starts."""
+    nth = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    some = codes.withColumn("_nth", nth).where(F.col("_nth") <= ENTRANCES).collect()  # bounded by the parameter and the number of bands
+    entries = _decoded(b"".join(r["code"] for r in some), dim, lengths=True)
+    ids, bands = np.array([r["node"] for r in some], np.int64), np.array([r["band"] for r in some], np.int32)
+    tops = {band: FACTOR ** -float(band) for band in np.unique(bands).tolist()}
 
     def approach(batches):
-        return _approach(batches, entries, entry_ids, dim)
+        return _approach(batches, entries, ids, bands, tops, dim, k)
+
+    start = queries.mapInArrow(approach, "q long, band int, node long, sim float")
+    own = queries.join(codes, F.col("q") == F.col("node")).select("q", "band", "node", F.lit(2.0).cast("float").alias("sim"))
+    return start.unionByName(own).groupBy("q", "band", "node").agg(F.max("sim").alias("sim")).withColumn("visited", F.lit(False))
+
+
+def greedy_search(graph: DataFrame, queries: DataFrame, seen: DataFrame, dim: int, *, beam: int) -> tuple[DataFrame, str]:
+    """``(q, band, node, sim, visited)``, stored, and its path: up to ``beam`` nodes a band for each of ``queries``,
+    a stored table, all of them visited.  ``graph`` is a stored adjacency table."""
+    spark = queries.sparkSession
 
     def visit(batches):
         return _visit(batches, dim)
 
-    start = queries.mapInArrow(approach, "q long, node long, sim float")
-    own = queries.join(codes, F.col("q") == F.col("node")).select("q", "node", F.lit(2.0).cast("float").alias("sim"))
-    seen = start.unionByName(own).groupBy("q", "node").agg(F.max("sim").alias("sim")).withColumn("visited", F.lit(False))
     seen, path = storage.write_table(seen, "beam")
-    by_query = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
-    for _ in range(MOST_ROUNDS):
-        ranked = seen.withColumn("_nth", F.row_number().over(by_query)).where(F.col("_nth") <= beam)
-        ranked = ranked.withColumn("_open", F.sum(F.when(F.col("visited"), 0).otherwise(1)).over(by_query.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("q", "band")
+    by_sim = whole.orderBy(F.desc("sim"), "node")
+    while True:
+        ranked = seen.withColumn("_nth", F.row_number().over(by_sim)).where(F.col("_nth") <= beam)
+        ranked = ranked.withColumn("_open", F.sum(F.when(F.col("visited"), 0).otherwise(1)).over(by_sim.rowsBetween(Window.unboundedPreceding, 0)))
         ranked = ranked.withColumn("go", ~F.col("visited") & (F.col("_open") <= VISITS))
-        ranked = ranked.withColumn("worst", F.when(F.count("*").over(Window.partitionBy("q")) >= beam, F.min("sim").over(Window.partitionBy("q"))).otherwise(F.lit(-3.0).cast("float")))
-        now, now_path = storage.write_table(ranked.select("q", "node", "sim", "visited", "go", "worst"), "beam")
+        ranked = ranked.withColumn("worst", F.when(F.count("*").over(whole) >= beam, F.min("sim").over(whole)).otherwise(F.lit(-3.0).cast("float")))
+        now, now_path = storage.write_table(ranked.select("q", "band", "node", "sim", "visited", "go", "worst"), "beam")
         storage.drop_table(spark, path)
         going = now.where("go")
         if going.isEmpty():
-            return now.select("q", "node")
-        asked = going.join(queries, "q").select("q", "query", "worst", "node")
-        found = asked.join(graph, "node").select("q", "query", "worst", "near", "codes").mapInArrow(visit, "q long, node long, sim float")
-        both = now.select("q", "node", "sim", (F.col("visited") | F.col("go")).alias("visited")).unionByName(found.withColumn("visited", F.lit(False)))
-        seen, path = storage.write_table(both.groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("visited").alias("visited")), "beam")
+            return now.select("q", "band", "node", "sim", "visited"), now_path
+        asked = going.join(queries, "q").select("q", "band", "query", "worst", "node")
+        found = asked.join(graph, "node").select("q", "band", "query", "worst", "near", "codes").mapInArrow(visit, "q long, band int, node long, sim float")
+        both = now.select("q", "band", "node", "sim", (F.col("visited") | F.col("go")).alias("visited")).unionByName(found.withColumn("visited", F.lit(False)))
+        seen, path = storage.write_table(both.groupBy("q", "band", "node").agg(F.max("sim").alias("sim"), F.max("visited").alias("visited")), "beam")
         storage.drop_table(spark, now_path)
-    return seen.withColumn("_nth", F.row_number().over(by_query)).where(F.col("_nth") <= beam).select("q", "node")
 
 
 def inner_product(a, b) -> F.Column:
@@ -332,43 +371,80 @@ def inner_product(a, b) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, links: int = LINKS, beam: int = BEAM) -> DataFrame:
+def _lists(nodes: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``(q, found)``: the ``k`` nearest rows of each query's nodes, exactly scored, as an array."""
+    a, b = nodes.select(F.col("node").alias("q"), F.col("vector").alias("x")), nodes.select("node", F.col("vector").alias("y"), "members")
+    scored = found.select("q", "node").join(b, "node").join(a, "q").select("q", "members", inner_product(F.col("x"), F.col("y")).alias("score"))
+    each = scored.select("q", "score", F.explode("members").alias("id"))
+    top = each.withColumn("_nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("_nth") <= k)
+    return top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.col("_nth").alias("nth"), "id", "score"))).alias("found"))
+
+
+def _true_worst(nodes: DataFrame, probes: list, k: int) -> dict[int, float]:
+    """For each probe ``(q, vector)`` the ``k``-th best score over all rows, by comparing it with every node."""
+    ids, x = [p["node"] for p in probes], np.array([p["vector"] for p in probes], np.float64)
+
+    def compare(batches):
+        best = np.zeros((len(ids), 0))
+        for batch in batches:
+            scores = np.repeat(x @ _matrix(batch.column("vector")).T, batch.column("size").to_numpy(), axis=1)
+            best = -np.sort(-np.concatenate([best, scores], axis=1), axis=1)[:, :k]
+        for i, row in zip(ids, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int64)), pa.array(row)], ["q", "score"])
+
+    each = nodes.select("vector", F.size("members").alias("size")).mapInArrow(compare, "q long, score double")
+    top = each.withColumn("_nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("_nth") <= k)
+    return {r["q"]: r["worst"] for r in top.groupBy("q").agg(F.min("score").alias("worst")).collect()}  # a row a probe
+
+
+def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, links: int = LINKS, beam: int = BEAM, rounds: int | None = None, target: float = TARGET) -> DataFrame:
     """``(query_id, rank, id, score)``: for every row that ``is_query`` (a condition on ``id``), the
     ``k`` nearest other rows found by inner product, ties by id."""
     spark = vectors.sparkSession
     rows, _ = storage.write_table(usable(vectors, id_col, vector_col), "vectors")
+    answers = spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    for size in [r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]:
+        answers = answers.unionByName(_nearest_of(rows.where(F.size("vector") == size), is_query, size, k, degree, links, beam, rounds, target))
+    return answers
+
+
+def _nearest_of(rows: DataFrame, is_query, dim: int, k: int, degree: int, links: int, beam: int, rounds: int | None, target: float) -> DataFrame:
+    spark = rows.sparkSession
     nodes, _ = storage.write_table(nodes_of(rows, k + 1), "nodes")
-    total, longest, dim = nodes.agg(F.count("*"), F.max(F.sqrt(inner_product(F.col("vector"), F.col("vector")))), F.max(F.size("vector"))).first()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    wide = dim + 1
+    total, longest = nodes.agg(F.count("*"), F.max(F.sqrt(inner_product(F.col("vector"), F.col("vector"))))).first()
     longest = float(longest)
 
     def encode(batches):
         return _encode(batches, longest)
 
-    codes, _ = storage.write_table(nodes.select("node", "vector").mapInArrow(encode, "node long, code binary"), "codes")
-    edges = build_graph(codes, total, wide, degree=degree)
-    graph, _ = storage.write_table(_adjacency(_keep_best(edges, links), codes, links), "adjacency")
-    asking = rows.where(is_query).select("id", "vector")
-    by_class = asking.join(nodes.select("node", "vector"), "vector").select(F.col("id").alias("query_id"), "node")
-    by_class, _ = storage.write_table(by_class, "queries")
-    asked = nodes.join(by_class.select("node").distinct(), "node", "left_semi")
-
     def encode_query(batches):
         for batch in batches:
             x = _matrix(batch.column("vector"))
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _binary(_bytes(np.concatenate([x, np.zeros((len(x), 1), np.float32)], axis=1)))], ["q", "query"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _encoded(x, np.ones(len(x)))], ["q", "query"])
 
-    queries, _ = storage.write_table(asked.select("node", "vector").mapInArrow(encode_query, "q long, query binary"), "asked")
-    found = greedy_search(graph, codes, queries, wide, beam=beam)
-    a, b = nodes.select(F.col("node").alias("q"), F.col("vector").alias("x")), nodes.select("node", F.col("vector").alias("y"), "members")
-    scored = found.join(b, "node").join(a, "q").select("q", "members", inner_product(F.col("x"), F.col("y")).alias("score"))
-    each = scored.select("q", "score", F.explode("members").alias("id"))
-    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = each.withColumn("_nth", F.row_number().over(by_score)).where(F.col("_nth") <= k + 1)
-    lists = top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.col("_nth").alias("nth"), "id", "score"))).alias("found"))
+    codes, codes_path = storage.write_table(nodes.select("node", "vector").mapInArrow(encode, "node long, band int, code binary"), "codes")
+    edges = build_graph(codes, dim, degree=degree, rounds=rounds)
+    graph, graph_path = storage.write_table(_adjacency(_ranked(edges, "u", "v", links), codes, links), "adjacency")
+    asking = rows.where(is_query).select("id", "vector")
+    by_class, _ = storage.write_table(asking.join(nodes.select("node", "vector"), "vector").select(F.col("id").alias("query_id"), "node"), "queries")
+    asked = nodes.join(by_class.select("node").distinct(), "node", "left_semi")
+    probes = asked.select("node", "vector").orderBy(F.xxhash64("node", F.lit(2)), "node").limit(PROBES).collect()  # bounded by the constant
+    queries, queries_path = storage.write_table(asked.select("node", "vector").mapInArrow(encode_query, "q long, query binary"), "asked")
+    truth = _true_worst(nodes, probes, k + 1) if probes else {}
+    seen = enter(codes, queries, dim, k)
+    while True:
+        found, found_path = greedy_search(graph, queries, seen, dim, beam=beam)
+        some = found.where(F.col("q").isin(list(truth))) if truth else None
+        if some is None or beam >= total:
+            break
+        made = _lists(nodes, some, k + 1).select("q", F.transform("found", lambda f: f["score"]).alias("scores")).collect()  # a row a probe
+        right = sum(sum(s >= truth[r["q"]] - 1e-9 * abs(truth[r["q"]]) for s in r["scores"]) for r in made)
+        if right >= target * min(k + 1, total) * len(truth):
+            break
+        seen, beam = found.withColumn("visited", F.lit(False)), beam * 2  # visited anew: more neighbours count now
+    for path in (codes_path, graph_path, queries_path):
+        storage.drop_table(spark, path)
+    lists = _lists(nodes, found, k + 1)
     others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     answers = by_class.join(lists, by_class["node"] == lists["q"]).select("query_id", F.posexplode(others).alias("place", "f"))
     return answers.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("f.id").alias("id"), F.col("f.score").alias("score"))

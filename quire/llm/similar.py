@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import simhash, storage, words
-from quire.llm.ann import _groups
 from quire.llm.components import connected_components
 
 #: Bits of a fingerprint, its 64-bit parts; slices, two of a part, and their bits.
@@ -239,7 +238,7 @@ def _verified(prints: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], pie
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _groups(batches, "cell"):
+    for table in storage.groups(batches, "cell"):
         names, sizes, piece = table.column("name").to_pylist(), table.column("size").to_numpy(), table.column("piece").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         links = list(_verified(_prints(table.column("print")), sizes, sets, piece, table.column("alone")[0].as_py()))

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,22 @@ def with_group_min(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     join is of two plain shuffles and adaptive execution can split a frequent key."""
     least, _ = write_table(df.groupBy(key).agg(F.min(value).alias(name)), "least")
     return df.join(least, key)
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows of one key after another, from batches that are sorted by it."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        at = 0
+        for cut in cuts:
+            if rest and rest[-1].column(key)[0].as_py() != keys[at]:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(at, cut - at))
+            at = cut
+    if rest:
+        yield pa.Table.from_batches(rest)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import ann, components, queries, simhash, similar, substring_dedup, words
+from quire.llm import ann, components, queries, simhash, similar, storage, substring_dedup, words
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -239,6 +239,70 @@ def test_nearest_neighbours_take_odd_rows(spark):
     assert ann.nearest(table.where("vec_id = 60"), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["unit", "unequal", "tail"])
+def test_nearest_neighbours_on_several_leaves(spark, lengths):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths != "unit":
+        x *= rng.uniform(0.3, 3, (4000, 1))
+    if lengths == "tail":  # one vector is 100 times longer than the next
+        x[17] *= 300
+    x = x.astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    made = {}
+    for r in ann.nearest(table, F.col("id") % 20 == 0, beam=64).collect():
+        made.setdefault(r["query_id"], set()).add(r["id"])
+    hits = sum(len(made[q] & {i for i, _ in plain_nearest(list(range(4000)), x, q, 20)}) for q in range(0, 4000, 20))
+    assert hits >= 0.93 * 20 * 200
+
+
+def test_rounds_improve_a_graph(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24)).astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vector array<float>")
+    longest = float(np.linalg.norm(x, axis=1).max())
+    codes, _ = storage.write_table(table.mapInArrow(lambda b: ann._encode(b, longest), "node long, band int, code binary"), "test")
+    band = {r["node"]: r["band"] for r in codes.select("node", "band").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    bands = np.array([band[i] for i in range(3000)])
+    sims[bands[:, None] != bands[None]] = -2
+    np.fill_diagonal(sims, -2)
+
+    def recall(rounds):
+        near = {}
+        for r in ann.build_graph(codes, 24, degree=16, trees=2, rounds=rounds).collect():
+            near.setdefault(r["u"], set()).add(r["v"])
+        return np.mean([len(near.get(i, set()) & set(np.argsort(-sims[i])[:16].tolist())) / 16 for i in range(3000) if (bands == bands[i]).sum() > 300])
+
+    start, settled = recall(0), recall(None)
+    assert settled > 0.85 and settled > start + 0.2, (start, settled)
+
+
+def test_vectors_of_each_dimension_are_a_table(spark):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(6)] + [(20 + i, [1.0, 0.0, float(i)]) for i in range(9)] + [(40, [5.0])]
+    made = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=3).orderBy("rank").collect():
+        made.setdefault(r["query_id"], []).append(r["id"])
+    assert made == {0: [5, 4, 3], 20: [21, 22, 23]}
+    odd = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("id", "node", "vector", "code", "rank")})
+    assert ann.nearest(odd, F.col("id") % 20 == 0, k=3).count() == 6
+
+
+def test_nearly_equal_vectors_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 64)
+    rng = np.random.default_rng(9)
+    x = np.ones((600, 8)) + rng.normal(size=(600, 8)) * 1e-3
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).astype(float).tolist())], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(np.float64)
+    made = {}
+    for r in ann.nearest(table, F.col("id") % 20 == 0, k=5).collect():
+        made.setdefault(r["query_id"], set()).add(r["id"])
+    hits = sum(len(made[q] & {i for i, _ in plain_nearest(list(range(600)), x, q, 5)}) for q in range(0, 600, 20))
+    assert hits >= 0.9 * 5 * 30
+
+
 def test_substring_oracle_agrees_on_odd_rows(edge_docs, tmp_path):
     path = str(tmp_path / "d.parquet")
     edge_docs.where("doc_id IS NOT NULL").toPandas().to_parquet(path)
