@@ -35,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words
 
-CELL_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+CELL_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 LEVELS = 2
 NO_ID = np.iinfo(np.int64).max
 _CONTEXT, _WINDOW = words.RunHash(21), words.RunHash(22)
@@ -133,6 +134,16 @@ def _packed(arrays: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
     return [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()) for x in arrays]
 
 
+def _folded(stretches: list[bytes], cuts: np.ndarray) -> pa.Array:
+    """The stretches between cuts, divided by newlines and compressed."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([press(b"\n".join(stretches[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+
+
+def _unfolded(table: pa.Table) -> list[bytes]:
+    return [zstandard.ZstdDecompressor().decompress(x) for x in table.column("bodies").to_pylist()]
+
+
 def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
@@ -209,13 +220,13 @@ def _send_stretches(table: pa.Table, marks: pa.Table, width: int, buckets: int)
                 held[1] = owner
             elif owner > held[2]:
                 held[2] = owner
-    stretches = sorted(found.items(), key=lambda x: x[1][0])
+    stretches = sorted(found.items(), key=lambda x: (x[1][0], x[0]))
     key = np.array([x[1][0] for x in stretches], np.uint64)
     least, most = (np.array([x[1][i] for x in stretches], np.int64) for i in (1, 2))
     bucket = _buckets(key, buckets)
     cuts = _cuts(bucket)
     cell = np.full(len(cuts) - 1, table.column("cell")[0].as_py() if table.num_rows else 0)
-    bodies = pa.array([b"\n".join(x[0] for x in stretches[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+    bodies = _folded([x[0] for x in stretches], cuts)
     return pa.table([pa.array(bucket[cuts[:-1]]), pa.array(cell, pa.int64()), bodies, *_packed([least, (least != most).astype(np.uint8)], cuts)], names=["bucket", "cell", "bodies", "owner", "several"])
 
 
@@ -237,7 +248,7 @@ def _meet_stretches(table: pa.Table, width: int) -> pa.Table:
     """The windows that a cell holds with a larger id than the smallest overall, as stretches again."""
     owner, several = _joined(table, "owner", np.int64), _joined(table, "several", np.uint8).astype(bool)
     cell = table.column("cell").to_numpy()[_rows_of(table, "owner", np.int64)]
-    text, stretch, begin, end = _parsed(table.column("bodies").to_pylist(), width)
+    text, stretch, begin, end = _parsed(_unfolded(table), width)
     number: dict[bytes, int] = {}
     which = np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
     least = np.full(len(number), NO_ID)
@@ -252,8 +263,7 @@ def _meet_stretches(table: pa.Table, width: int) -> pa.Table:
     to = cell[stretch[tell[begins]]]
     cuts = _cuts(to)
     bodies = [text[a:b] for a, b in zip(begin[tell[begins]].tolist(), end[tell[ends - 1]].tolist(), strict=True)]
-    joined = pa.array([b"\n".join(bodies[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
-    return pa.table([pa.array(to[cuts[:-1]], pa.int64()), joined, *_packed([least[tell]], np.append(begins, len(tell))[cuts])], names=["cell", "bodies", "owner"])
+    return pa.table([pa.array(to[cuts[:-1]], pa.int64()), _folded(bodies, cuts), *_packed([least[tell]], np.append(begins, len(tell))[cuts])], names=["cell", "bodies", "owner"])
 
 
 def _hashes(bodies: list[bytes], width: int) -> np.ndarray:
@@ -266,7 +276,7 @@ def _hashes(bodies: list[bytes], width: int) -> np.ndarray:
 
 
 def _remove(table: pa.Table, marks: pa.Table, width: int) -> pa.Table:
-    ids, bodies = _ids(table), [x for x in marks.column("bodies").to_pylist() if x]
+    ids, bodies = _ids(table), _unfolded(marks)
     text, _, begin, end = _parsed(bodies, width)
     earlier = dict(zip((text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)), _joined(marks, "owner", np.int64).tolist(), strict=True))
     known = np.unique(_hashes(bodies, width)) if len(begin) else np.zeros(0, np.uint64)
