@@ -57,12 +57,6 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage reliably: files in the shared folder, which survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a stored table of short fixed-size columns, marked for a broadcast if it has at most ``rows``
     rows; beyond that Spark joins it by a shuffle."""
