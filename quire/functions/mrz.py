@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters by value: digits, then A to Z from 10 on; the filler counts zero.
@@ -19,12 +19,21 @@ def is_mrz_line(c: Column) -> Column:
     return (F.length(c) >= 25) & c.contains("<") & c.rlike("^[A-Z0-9<]+$")
 
 
+def zone_lines(lines: DataFrame) -> DataFrame:
+    """``(doc_id, zone)``: each document's lines of a machine-readable zone, from the top of the page down, ties
+    in reading order; documents with fewer than two have no row."""
+    clean = lines.select("doc_id", "y0", "line_no", normalise(F.col("text")).alias("zone")).where(is_mrz_line(F.col("zone")))
+    grouped = clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y0", "line_no", "zone"))).alias("found")).where(F.size("found") >= 2)
+    return grouped.select("doc_id", F.transform("found", lambda x: x["zone"]).alias("zone"))
+
+
 def check_digit(c: Column) -> Column:
-    """Weights 7, 3, 1 in turn, modulo 10."""
-    place = F.sequence(F.lit(1), F.length(c))
-    value = lambda i: F.greatest(F.position(F.substr(c, i, F.lit(1)), F.lit(VALUES)) - 1, F.lit(0))
-    weight = lambda i: F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), (i - 1) % 3 + 1)
-    return F.when(F.length(c) == 0, F.lit(0)).otherwise(F.aggregate(place, F.lit(0), lambda total, i: total + value(i) * weight(i)) % 10)
+    """Weights 7, 3, 1 in turn, modulo 10.  The argument is cut into characters once, as an argument
+    inside a lambda would be evaluated for each of them."""
+    weights = F.array(F.lit(7), F.lit(3), F.lit(1))
+    value = lambda x: F.greatest(F.position(x, F.lit(VALUES)) - 1, F.lit(0))
+    parts = F.transform(F.split(c, ""), lambda x, i: value(x) * F.element_at(weights, i % 3 + 1))
+    return F.aggregate(parts, F.lit(0), lambda total, x: total + x) % 10
 
 
 def _digit(c: Column) -> Column:

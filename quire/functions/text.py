@@ -24,6 +24,7 @@ the a an of to and or in on at for with without from by as is are was were be be
 this that these those it its his her their our your my we you they he she them us
 not no any all can will would should could may might one two
 """.split()
+# What a word is.
 TOKEN = "[a-zA-ZÀ-ÿ0-9]+"
 MIN_TOKEN = 3
 
@@ -126,12 +127,16 @@ def article_heading(c: Column) -> Column:
     return F.when(c.rlike(pattern), made)
 
 
+# What a label line is, and the letters that make a line or a label structural.
+COLON_LINE = r"(?Ud)^\s*([^:\n]{2,60}?)\s*:\s*(\S.*)$"
+LABEL_LETTERS, LINE_LETTERS = "[a-zA-ZÀ-ÿ]{3,}", "[a-zA-ZÀ-ÿ]{4,}"
+
+
 def colon_pair(c: Column) -> Column:
-    """``struct(label, value)`` of a line ``label : value`` whose label has 2 to 60 characters and a
-    run of three letters, or null."""
-    pattern = r"^\s*(.{2,60}?)\s*:\s*(\S.*?)\s*$"
-    label = F.regexp_extract(c, pattern, 1)
-    return F.when(c.rlike(pattern) & label.rlike(r"\p{L}{3,}"), F.struct(label.alias("label"), F.regexp_extract(c, pattern, 2).alias("value")))
+    """``struct(label, value)`` of a line ``label : value`` whose label has 2 to 60 characters, no colon, and
+    a run of three letters, or null."""
+    label, value = strip(F.regexp_extract(c, COLON_LINE, 1)), strip(F.regexp_extract(c, COLON_LINE, 2))
+    return F.when(c.rlike(COLON_LINE) & label.rlike(LABEL_LETTERS), F.struct(label.alias("label"), value.alias("value")))
 
 
 def escaped_pattern(label: Column) -> Column:
@@ -140,7 +145,7 @@ def escaped_pattern(label: Column) -> Column:
 
 
 def is_structural(c: Column) -> Column:
-    return c.rlike(r"\p{L}{4,}")
+    return c.rlike(LINE_LETTERS)
 
 
 def quoted(c: Column) -> Column:

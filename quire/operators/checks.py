@@ -224,3 +224,8 @@ def evaluate(df: DataFrame, rules: list[dict], context: Context | None = None, f
     joined = with_context(df, rules, context, fields_col)
     made = joined.withColumn("failures", failures_of(F.col(fields_col), rules, context))
     return made.select(*df.columns, "failures", verdict(F.col("failures")).alias("verdict"), reasons(F.col("failures")).alias("reasons"))
+
+
+def flat_reasons(df: DataFrame, rules: list[dict], context: Context | None = None, fields_col: str = "fields") -> DataFrame:
+    """``df`` with ``reasons`` alone, for gates that only ask whether checks pass: none means they do."""
+    return evaluate(df, rules, context, fields_col).select(*df.columns, "reasons")

@@ -65,3 +65,10 @@ def reconcile(documents: DataFrame, convert: Callable[[DataFrame], DataFrame], *
         now = made.select("doc_id", "page", "layout_score", (F.col("range_end") - F.col("range_start") + 1).alias("width"), F.lit(number).alias("round"))
         done = (now if done is None else done.unionByName(now)).persist()
     return done, everything.join(done, ["doc_id", "page"], "left_anti")
+
+
+def attempt_summary(attempts: DataFrame) -> DataFrame:
+    """``(doc_id, attempts, nonclean)`` of attempts ``(doc_id, range_start, range_end, status)``: how many there were, and
+    the ranges that were no clean success, in order."""
+    odd = F.when(F.col("status") != "success", F.struct("range_start", "range_end", "status"))
+    return attempts.groupBy("doc_id").agg(F.count("*").cast("int").alias("attempts"), F.array_sort(F.collect_list(odd)).alias("nonclean"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.functions.mrz import passing
+from quire.operators import extract
 
 NO_RULES = "structured template matched but has no single-doc validation rules (e.g. ID card uses the recto+verso pair flow, process_ci_pair)"
 NO_TEXT = "no structured match and no extractable text (image needs an OCR engine)"
@@ -172,3 +173,64 @@ def attestations(jobs: DataFrame, templates: DataFrame) -> DataFrame:
     read = lambda role: F.try_element_at(F.col("record_fields"), F.col(f"roles.{role}"))
     made = jobs.where("status = 'done'").join(F.broadcast(roles), "template_id").select("job_id", read("holder_field").alias("holder_name"), read("issue_date_field").alias("issue_date"), read("expiry_date_field").alias("expiry_date"))
     return made.where("holder_name <> '' AND issue_date <> '' AND expiry_date <> ''")
+
+
+def recto_fields(docs: DataFrame, found: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``(doc_id, template_id, fields)``: what a document's recto says, a map of values by pattern; documents that
+    follow no template ``(doc_id, template_id)`` have no row."""
+    values = F.create_map(*(x for name, pattern in patterns.items() for x in (F.lit(name), extract.pattern_value(F.col("text"), pattern))))
+    return docs.join(found, "doc_id").select("doc_id", "template_id", values.alias("fields"))
+
+
+def field_values(fields: Column) -> Column:
+    """What checks read: names and values, without places."""
+    return F.transform_values(fields, lambda _, field: field["value"])
+
+
+def batch_views(records: DataFrame) -> dict[str, DataFrame]:
+    """A batch's records by outcome: to centralise, for a human, proven invalid."""
+    return {name: records.where(F.col("outcome") == outcome) for name, outcome in (("auto", "auto"), ("review", "review"), ("rejected", "reject"))}
+
+
+def wire_status(verdict: Column) -> Column:
+    return F.when(verdict == "auto", "validated").when(verdict == "review", "needs_review").when(verdict == "reject", "rejected")
+
+
+def ci_records(submissions: DataFrame) -> DataFrame:
+    """Records of identity cards: ``outcome``, ``detail``, ``reasons`` and ``missing`` from ``status``, the pair's
+    ``verdict`` and ``record_reasons``, and the submission's ``reasons`` and ``missing``."""
+    whole = (F.col("status") == "complete") & F.col("verdict").isNotNull()
+    outcome = F.when(whole, F.col("verdict")).otherwise("review")
+    return submissions.withColumns({"outcome": outcome, "detail": F.col("status"), "reasons": F.when(whole, F.col("record_reasons")).otherwise(F.col("reasons")), "missing": F.when(whole, _empty()).otherwise(F.col("missing"))})
+
+
+def door_edge(records: DataFrame) -> DataFrame:
+    """What the door does with a card's record: a side that is missing leaves a closed trace, a doubtful pair waits
+    for the escalation lane, others are final.  Adds ``job_status``, ``execution_lane``, ``wire``, ``wire_verdict``, ``http``
+    and ``trace``."""
+    unmet, doubtful = F.col("detail").isin("incomplete", "unrecognized"), F.col("outcome") == "review"
+    sides = F.concat(F.lit("missing side(s): "), F.array_join("missing", ", "))
+    return records.withColumns(
+        {
+            "job_status": F.when(unmet, "done").when(doubtful, "received").otherwise(job_status(F.col("outcome"))),
+            "execution_lane": F.when(~unmet & doubtful, "escalation").otherwise("fast"),
+            "wire": F.when(unmet, F.col("detail")).when(doubtful, "pending").otherwise(wire_status(F.col("outcome"))),
+            "wire_verdict": F.when(~unmet & ~doubtful, F.col("outcome")),
+            "http": F.when(~unmet & doubtful, 202).otherwise(200),
+            "trace": F.concat("reasons", _when(unmet & (F.size("missing") > 0), sides)),
+        }
+    )
+
+
+def worker_edge(records: DataFrame) -> DataFrame:
+    """What the worker writes: nobody waits for an answer, so an incomplete card is for review too.  ``job_reasons`` come
+    first; ``verso_read_path``, where there is one, last.  Adds ``job_status`` and ``written``."""
+    via = F.concat(F.lit("verso read via: "), "verso_read_path")
+    return records.withColumns({"job_status": job_status(F.col("outcome")), "written": F.concat("job_reasons", "reasons", _when(F.col("verso_read_path").isNotNull(), via))})
+
+
+def job_rows(outcomes: DataFrame, **given: Column) -> DataFrame:
+    """Records as rows of the job table; ``given`` columns, such as the upload's own name, come before the record's."""
+    own = {"source": "source", "category_lane": "lane", "status": "status", "verdict": "verdict", "category": "category", "template_id": "template_id", "record_fields": "fields", "reasons": "reasons"}
+    made = {name: F.col(c) for name, c in own.items()} | {"execution_lane": F.lit("fast")} | given
+    return outcomes.select(*(c.alias(name) for name, c in made.items()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -203,3 +204,28 @@ def watch(events: DataFrame, handle: Callable[[DataFrame, object, int], None], r
     for key, value in options.items():
         writer = writer.option(key, value)
     return writer
+
+
+@F.pandas_udf(T.StringType())
+def curated(drafts: pd.Series, required: pd.Series, roles: pd.Series) -> pd.Series:
+    """``curate`` over JSON columns, null where nothing was ticked: the curated draft, or ``refused:`` and why."""
+
+    def one(draft: str, rules: str | None, named: str | None) -> str:
+        try:
+            return json.dumps(curate(json.loads(draft), None if rules is None else json.loads(rules), None if named is None else json.loads(named)))
+        except ValueError as error:
+            return f"refused: {error}"
+
+    return pd.Series([one(*x) for x in zip(drafts, required, roles, strict=True)])
+
+
+def plain_name(name: str) -> str:
+    """``field_name`` of ``text`` for one name."""
+    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
+    return re.sub("[^a-z0-9]+", "_", plain).strip("_")[:40]
+
+
+@F.pandas_udf(T.StringType())
+def with_names(drafts: pd.Series, proposed: pd.Series) -> pd.Series:
+    """``renamed`` over JSON columns, names sanitised."""
+    return pd.Series([json.dumps(renamed(json.loads(d), json.loads(p), plain_name)) for d, p in zip(drafts, proposed, strict=True)])

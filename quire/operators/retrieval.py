@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,18 +113,25 @@ def term_counts(chunks: DataFrame, key: list[str]) -> DataFrame:
     return chunks.select(*key, F.explode(text.tokens(F.col("text"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n"))
 
 
-def index(chunks: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``(term, idf)`` and ``(key, term, weight)`` with weights of unit length for each chunk."""
+def terms_of(queries: DataFrame) -> DataFrame:
+    """The distinct content words of ``queries``."""
+    return queries.select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
+
+
+def index(chunks: DataFrame, key: list[str], *, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(term, idf)`` and ``(key, term, weight)`` with weights of unit length for each chunk; of ``terms``
+    only, if given, though lengths are of all."""
     counts = term_counts(chunks, key)
     total = chunks.select(F.count("*").alias("chunks"))
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("term", (F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return idf, _unit(counts.join(idf, "term"), key)
+    return idf, _unit(counts.join(idf, "term"), key, terms)
 
 
-def _unit(weighted: DataFrame, key: list[str]) -> DataFrame:
+def _unit(weighted: DataFrame, key: list[str], terms: DataFrame | None = None) -> DataFrame:
     raw = weighted.select(*key, "term", (F.col("n") * F.col("idf")).alias("w"))
     norm = raw.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    kept = raw if terms is None else raw.join(terms, "term", "left_semi")
+    return kept.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def search(queries: DataFrame, idf: DataFrame, weights: DataFrame, key: list[str], *, k: int = 3) -> DataFrame:
@@ -176,38 +186,77 @@ def _unit_rows(rows: list) -> np.ndarray:
     return made / np.where(norm == 0, 1, norm)
 
 
+_WORD, _END = re.compile(text.TOKEN), re.compile(r"(?<=[.!?])\s+")
+_STOP = frozenset(text.STOPWORDS)
+
+
+def _words(body: str) -> list[str]:
+    return [w for w in (x.lower() for x in _WORD.findall(body)) if len(w) >= text.MIN_TOKEN and w not in _STOP]
+
+
+def _per_document(docs: DataFrame, rows_of: Callable[[str], list[tuple]], fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """Rows that each text gives by itself: a document is one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rows_of(body or "") for body in batch.column("text").to_pylist()]
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+            columns = list(zip(*(row for rows in found for row in rows), strict=True)) or [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
 def keywords(docs: DataFrame, *, k: int = 8) -> DataFrame:
     """``(doc_id, rank, term, n)``: the most frequent content words, earlier ones first on a tie."""
-    each = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "term"))
-    counts = each.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")))
-    return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "term", "n")
+
+    def rows(body: str) -> list[tuple]:
+        return [(i, term, n) for i, (term, n) in enumerate(Counter(_words(body)).most_common(k), 1)]
+
+    return _per_document(docs, rows, [("rank", pa.int32()), ("term", pa.string()), ("n", pa.int64())], "rank int, term string, n long")
 
 
 def key_sentences(docs: DataFrame, *, k: int = 3) -> DataFrame:
     """``(doc_id, sentence_no, sentence, score)``: the sentences with the best mean word count, in
     reading order.  Counts cover all content words of the document."""
-    counts = term_counts(docs, ["doc_id"])
-    each = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    words = each.select("doc_id", "sentence_no", F.explode(text.tokens(F.col("sentence"))).alias("term"))
-    scores = words.join(counts, ["doc_id", "term"]).groupBy("doc_id", "sentence_no").agg(F.avg("n").alias("score"))
-    ranked = scores.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "sentence_no"))).where(F.col("_nth") <= k)
-    return ranked.join(each, ["doc_id", "sentence_no"]).select("doc_id", "sentence_no", "sentence", "score")
+
+    def rows(body: str) -> list[tuple]:
+        counts = Counter(_words(body))
+        sentences = [s for s in (x.strip() for x in _END.split(body)) if len(s) > 1]
+        scored = []
+        for number, sentence in enumerate(sentences):
+            if found := _words(sentence):
+                scored.append((number, sentence, sum(counts[w] for w in found) / len(found)))
+        return sorted(sorted(scored, key=lambda s: (-round(s[2], 9), s[0]))[:k])
+
+    return _per_document(docs, rows, [("sentence_no", pa.int32()), ("sentence", pa.string()), ("score", pa.float64())], "sentence_no int, sentence string, score double")
 
 
 def token_batches(texts: DataFrame, *, budget: int = 2000) -> DataFrame:
-    """``(doc_id, batch_no)`` of texts ``(doc_id, group, pos, tokens)``: a batch closes before a text
-    that would take it over the budget."""
-    rows = texts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id", "tokens"))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<doc_id:bigint,batch_no:int>>").alias("out"))
-
-    def add(state, row):
-        over = (state["sum"] > 0) & (state["sum"] + row["tokens"] > budget)
-        batch = F.when(over, state["batch"] + 1).otherwise(state["batch"])
-        total = F.when(over, F.lit(0).cast("long")).otherwise(state["sum"]) + row["tokens"]
-        return F.struct(batch.alias("batch"), total.alias("sum"), F.concat(state["out"], F.array(F.struct(row["doc_id"].alias("doc_id"), batch.alias("batch_no")))).alias("out"))
-
-    return rows.select("group", F.explode(F.aggregate("rows", start, add, lambda s: s["out"])).alias("r")).select("group", "r.*")
+    """``(group, doc_id, batch_no)`` of texts ``(doc_id, group, pos, tokens)``: a batch closes before a text
+    that would take it over the budget.  A sequential pass over sorted rows that holds one sum, however
+    large a group is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, number, total = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for name, tokens in zip(batch["group"], batch["tokens"], strict=True):
+                if name != group:
+                    group, number, total = name, 0, 0
+                if total > 0 and total + tokens > budget:
+                    number, total = number + 1, 0
+                total += tokens
+                numbers.append(number)
+            yield batch[["group", "doc_id"]].assign(batch_no=np.array(numbers, np.int32))
+
+    ordered = texts.select("group", "doc_id", "pos", "tokens").repartition("group").sortWithinPartitions("group", "pos", "doc_id")
+    return ordered.mapInPandas(run, f"group {texts.schema['group'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}, batch_no int")
+
+
+def hops(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The edges that start at one of ``chunks`` ``(chunk_id)``: one step through the reference graph."""
+    return edges.join(chunks.select(F.col("chunk_id").alias("source")).distinct(), "source", "left_semi")
 
 
 def reference_edges(edges: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -6,8 +6,12 @@ path; a path that is being read is never written.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATUSES = ("received", "processing", "needs_review", "done", "rejected", "failed")
 
@@ -105,3 +109,66 @@ def valid_corrections(old: Column, proposed: Column) -> Column:
 def deduplicated(jobs: DataFrame) -> DataFrame:
     """One job for each request: the first."""
     return jobs.join(jobs.groupBy("request_id").agg(F.min("job_id").alias("job_id")), ["request_id", "job_id"], "left_semi")
+
+
+def active_templates(templates: DataFrame, category: str | None = None) -> DataFrame:
+    """Templates in use, of one category if named, by id."""
+    found = templates.where("active")
+    return (found if category is None else found.where(F.col("category") == category)).orderBy("template_id")
+
+
+def by_key(table: DataFrame, key: str, value) -> DataFrame:
+    """One row by its key, in use or not."""
+    return table.where(F.col(key) == value)
+
+
+def known_categories(templates: DataFrame) -> DataFrame:
+    """``(category)`` of templates in use, each once, in order."""
+    return active_templates(templates).where("category <> ''").select("category").distinct().orderBy("category")
+
+
+def without_policy(templates: DataFrame, policies: DataFrame) -> DataFrame:
+    """Categories of templates in use that no policy names."""
+    return known_categories(templates).join(policies.select("category"), "category", "left_anti")
+
+
+def pending_suggestions(reviews: DataFrame, templates: DataFrame) -> DataFrame:
+    """``(review_id, job_id, template_id, validation)``: suggestions that wait; a draft brings its own checks, others
+    those of the template that they name, if it is there."""
+    known = templates.select("template_id", F.col("validation").alias("_known"))
+    waiting = reviews.where("suggestion_status = 'pending'").join(known, "template_id", "left")
+    return waiting.select("review_id", "job_id", "template_id", F.coalesce("draft_validation", "_known").alias("validation"))
+
+
+def decoded_reviews(reviews: DataFrame) -> DataFrame:
+    """Reviews as they are read: a suggestion is there if and only if it has a status."""
+    made = F.struct("template_id", F.from_json("anchors", "array<string>").alias("anchors"), F.col("suggestion_status").alias("status"))
+    return reviews.select("review_id", "job_id", F.when(F.col("suggestion_status").isNotNull(), made).alias("suggestion"))
+
+
+def decide(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions, comments and corrections by review: what is not given stays; corrections replace the whole map."""
+    return partial_update(reviews, decisions, "review_id")
+
+
+def replayed(requests: DataFrame, *, capacity: int = 1024) -> DataFrame:
+    """``requests`` ``(host, seq, request_id)`` with ``replay``: whether a host still remembers the answer.  A host keeps
+    the last ``capacity`` ids in the order in which they came first; a replay doesn't renew one.  A sequential pass over
+    sorted rows that holds those ids only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, kept = None, {}
+        for batch in batches:
+            seen = []
+            for name, request in zip(batch["host"], batch["request_id"], strict=True):
+                if name != host:
+                    host, kept = name, {}
+                seen.append(request in kept)
+                if request not in kept:
+                    if len(kept) >= capacity:
+                        del kept[next(iter(kept))]
+                    kept[request] = None
+            yield batch.assign(replay=seen)
+
+    schema = T.StructType([*(requests.schema[c] for c in ("host", "seq", "request_id")), T.StructField("replay", T.BooleanType())])
+    return requests.select("host", "seq", "request_id").repartition("host").sortWithinPartitions("host", "seq").mapInPandas(run, schema)

@@ -467,8 +467,8 @@ s AS (SELECT item_id, doc_id, sum(qu.w * u.w) AS score FROM qu JOIN u USING (ter
 SELECT item_id AS query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 3""")
 def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items as queries over the documents."""
-    idf, weights = retrieval.index(S.table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
     asked = S.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    idf, weights = retrieval.index(S.table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"], terms=retrieval.terms_of(asked))
     return retrieval.search(asked, idf, weights, ["doc_id"]).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -536,7 +536,7 @@ def cluster_greedy(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH ln AS (SELECT doc_id, doc_id % 50 AS cluster, unnest(list_concat(['Common heading ' || (doc_id % 50), 'Réf: ' || doc_id, 'Second structural line'], string_split(text, chr(10)))) AS s, unnest(generate_series(0, len(string_split(text, chr(10))) + 2)) AS line_no FROM documents),
 k AS (SELECT *, regexp_replace(lower(s), '[^a-z0-9]', '', 'g') AS key FROM ln), sz AS (SELECT cluster, count(DISTINCT doc_id) AS m, min(doc_id) AS base FROM k GROUP BY cluster),
 e AS (SELECT cluster, key FROM k JOIN sz USING (cluster) WHERE length(key) >= 4 GROUP BY cluster, key, m HAVING count(DISTINCT doc_id) = m)
-SELECT k.cluster, k.key, CAST(min(line_no) AS INTEGER) AS line_no FROM k JOIN e ON k.cluster = e.cluster AND k.key = e.key JOIN sz ON sz.cluster = k.cluster WHERE doc_id = base AND regexp_matches(s, '\\p{L}{4,}') GROUP BY ALL""")
+SELECT k.cluster, k.key, CAST(min(line_no) AS INTEGER) AS line_no FROM k JOIN e ON k.cluster = e.cluster AND k.key = e.key JOIN sz ON sz.cluster = k.cluster WHERE doc_id = base AND regexp_matches(s, '[a-zA-ZÀ-ÿ]{4,}') GROUP BY ALL""")
 def invariant_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that every member of a cluster holds."""
     docs = S.table(spark, folder, "documents")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,17 +74,22 @@ def activity(events: DataFrame, window, *, late: str = "1 hour") -> DataFrame:
 
 
 def concurrency(starts: DataFrame, limit: int) -> DataFrame:
-    """``admitted`` for calls ``(call_id, start, end)``: while ``limit`` calls that were admitted
-    earlier still run, a call is not.  Calls are taken in order of start, by host."""
-
-    def admit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        running, out = [], []
-        for call, start, end in pdf.sort_values(["start", "call_id"])[["call_id", "start", "end"]].itertuples(index=False):
-            running = [e for e in running if e > start]
-            admitted = len(running) < limit
-            if admitted:
-                running.append(end)
-            out.append((call, admitted))
-        return pd.DataFrame(out, columns=["call_id", "admitted"])
-
-    return starts.groupBy("host").applyInPandas(admit, "call_id long, admitted boolean")
+    """``(call_id, admitted)`` of calls ``(call_id, host, start, end)``: while ``limit`` calls that were admitted
+    earlier still run, a call is not.  Calls are taken in order of start, by host, in a pass over sorted rows that
+    holds the running ones only."""
+
+    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, running = None, []
+        for batch in batches:
+            out = []
+            for name, start, end in zip(batch["host"], batch["start"], batch["end"], strict=True):
+                if name != host:
+                    host, running = name, []
+                while running and running[0] <= start:
+                    heapq.heappop(running)
+                out.append(len(running) < limit)
+                if out[-1]:
+                    heapq.heappush(running, end)
+            yield batch[["call_id"]].assign(admitted=out)
+
+    return starts.select("host", "call_id", "start", "end").repartition("host").sortWithinPartitions("host", "start", "call_id").mapInPandas(admit, "call_id long, admitted boolean")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import mrz, text, values
 from quire.operators import checks, conversion, drafting, extract, flow, match, retrieval, store
 from quire.operators import lines as L
+from quire.streaming import lifecycle
 
 TODAY = datetime.date(2026, 7, 3)
 
@@ -321,3 +322,82 @@ def test_unmatched_documents_are_summarised(spark):
     made = {r["doc_id"]: r for r in retrieval.read_result(docs).collect()}
     assert made[1]["keywords"][0] == "alpha" and made[1]["chunk_count"] == 1 and "pages [3]" in made[1]["reasons"][0]
     assert made[2]["chunk_count"] == 0 and len(made[2]["reasons"]) == 2
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [("Nom : Dupont ", ("Nom", "Dupont")), ("N: 12: x", None), ("x:: y", None), ("Tél: né: x", ("Tél", "né: x")), ("имя : x", None), ("Réf (N) :x", ("Réf (N)", "x")), ("n° (N) :x", None), ("Total:", None), ("Montant\u00a0HT\u00a0: 3", ("Montant\u00a0HT", "3"))],
+)
+def test_label_lines(spark, line, want):
+    made = one(spark, text.colon_pair(F.lit(line)))
+    assert (made and tuple(made)) == want
+
+
+@pytest.mark.parametrize("line, want", [("abcd", True), ("Été1é", False), ("éàüö", True), ("12 abc 34", False), ("имена", False), ("日本語文", False)])
+def test_structural_lines_have_latin_words(spark, line, want):
+    assert one(spark, text.is_structural(F.lit(line))) is want
+
+
+def test_check_digits_of_nested_columns(spark):
+    inner = mrz.check_digit(F.lit("D23145890734"))
+    assert one(spark, inner) == 9 and one(spark, mrz.check_digit(F.lit(""))) == 0
+    assert one(spark, mrz.check_digit(F.concat(F.lit("D23145890734"), inner.cast("string")))) == (9 + 9 * 7) % 10
+    assert one(spark, mrz.check_digit(F.lit(None).cast("string"))) is None
+
+
+def test_zone_lines_follow_the_page(spark):
+    zone = "IDFRADUPONT<<<<<<<<<<<<<<<<<<"
+    rows = [(1, 0, "b" + zone[1:], 50.0), (1, 1, zone.lower().replace("<", ">"), 10.0), (1, 2, "NOT A ZONE LINE AT ALL BUT LONG", 0.0), (2, 0, zone, 0.0), (3, 0, "A" * 30, 0.0), (3, 1, zone, 1.0), (4, 1, zone[:-1] + "2", 5.0), (4, 0, zone[:-1] + "1", 5.0)]
+    made = {r["doc_id"]: r["zone"] for r in mrz.zone_lines(spark.createDataFrame(rows, "doc_id long, line_no int, text string, y0 double")).collect()}
+    assert made == {1: [zone, "B" + zone[1:]], 4: [zone[:-1] + "1", zone[:-1] + "2"]}
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 1024])
+def test_replays_are_remembered_for_a_while(spark, capacity):
+    rnd = random.Random(5)
+    rows = [(i % 3, i, f"r{rnd.randrange(9)}" if rnd.random() < 0.9 else None) for i in range(400)]
+    want, kept = {}, {}
+    for host, seq, request in rows:
+        own = kept.setdefault(host, [])
+        want[seq] = request in own
+        if request not in own:
+            own.append(request)
+            del own[:-capacity]
+    made = store.replayed(spark.createDataFrame(rows, "host long, seq long, request_id string"), capacity=capacity)
+    assert {r["seq"]: r["replay"] for r in made.collect()} == want
+
+
+def test_admission_keeps_to_the_limit(spark):
+    rnd = random.Random(6)
+    rows = [(i, i % 2, (s := rnd.randrange(300)), s + rnd.randrange(1, 40)) for i in range(300)]
+    want, running = {}, {}
+    for call, host, start, end in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        own = [e for e in running.get(host, []) if e > start]
+        want[call] = len(own) < 2
+        running[host] = own + [end] * want[call]
+    made = lifecycle.concurrency(spark.createDataFrame(rows, "call_id long, host long, start long, end long"), 2)
+    assert {r["call_id"]: r["admitted"] for r in made.collect()} == want
+
+
+def test_batches_close_before_the_budget(spark):
+    rows = [(1, "a", 0, 1500), (2, "a", 1, 500), (3, "a", 2, 1), (4, "a", 3, 5000), (5, "a", 4, 1), (6, "b", 0, 9999), (7, None, 0, 1)]
+    made = {r["doc_id"]: r["batch_no"] for r in retrieval.token_batches(spark.createDataFrame(rows, "doc_id long, group string, pos int, tokens int")).collect()}
+    assert made == {1: 0, 2: 0, 3: 1, 4: 2, 5: 3, 6: 0, 7: 0}
+
+
+def test_cards_at_door_and_worker(spark):
+    schema = "status string, verdict string, record_reasons array<string>, reasons array<string>, missing array<string>, job_reasons array<string>, verso_read_path string"
+    rows = [("complete", "auto", ["r"], ["s"], [], ["j"], "raw"), ("complete", None, ["r"], ["s"], [], ["j"], None), ("incomplete", None, [], ["please"], ["verso"], [], None)]
+    records = flow.ci_records(spark.createDataFrame(rows, schema))
+    door = [(r["outcome"], r["job_status"], r["wire"], r["wire_verdict"], r["http"], r["trace"]) for r in flow.door_edge(records).collect()]
+    assert door == [("auto", "done", "validated", "auto", 200, ["r"]), ("review", "received", "pending", None, 202, ["s"]), ("review", "done", "incomplete", None, 200, ["please", "missing side(s): verso"])]
+    worker = [(r["job_status"], r["written"]) for r in flow.worker_edge(records).collect()]
+    assert worker == [("done", ["j", "r", "verso read via: raw"]), ("needs_review", ["j", "s"]), ("needs_review", ["please"])]
+
+
+def test_summaries_inside_a_document(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta. Beta gamma! X. Delta?  Beta beta beta"), (2, ""), (3, None), (3, "une une deux trois")], "doc_id long, text string")
+    words = sorted((r["doc_id"], r["rank"], r["term"], r["n"]) for r in retrieval.keywords(docs, k=2).collect())
+    assert words == [(1, 1, "beta", 5), (1, 2, "alpha", 1), (3, 1, "deux", 1), (3, 2, "trois", 1)]
+    best = [(r["sentence_no"], r["sentence"], r["score"]) for r in retrieval.key_sentences(docs.where("doc_id = 1"), k=2).collect()]
+    assert best == [(0, "Alpha beta.", 3.0), (4, "Beta beta beta", 5.0)] or best == [(0, "Alpha beta.", 3.0), (3, "Beta beta beta", 5.0)]
