@@ -45,7 +45,7 @@ DEGREE, TREES, LEAF, PART, SAMPLE = 48, 3, 256, 8192, 16384
 JOINED, SENT, SETTLED = 32, 12, 0.02
 #: Search: neighbours of a node that it looks at, each way; nodes kept for each query, nodes visited in a
 #: round, entries of a query and of a band.
-LINKS, BEAM, VISITS, ENTRIES, ENTRANCES = 32, 128, 64, 8, 2048
+LINKS, BEAM, VISITS, ENTRIES, ENTRANCES = 32, 256, 64, 8, 2048
 PROBES, TARGET = 64, 0.95
 
 
