@@ -109,11 +109,19 @@ def normalise_value(c: Column, rule: Column | str | None) -> Column:
 
 def reference_key(c: Column) -> Column:
     """``article 4`` and the like: the first element named in a reference, or null."""
-    pattern = r"(?i)(article|annexe|avenant)\s+(?:n[°ºo]\s*)?([ivxlc]+|\d+)"
+    pattern = r"(?i)(article|annexe|avenant)\s+(?:n[°ºo]\s*)?([ivxlc]+|\d+)"  # fixed value
     kind = F.regexp_extract(c, pattern, 1)
     return F.when(kind != "", F.lower(F.concat_ws(" ", kind, F.regexp_extract(c, pattern, 2))))
 
 
+def keys_in(heading: Column) -> Column:
+    """All reference keys that a folded heading holds: ``article 12`` holds ``article 1`` too."""
+    found = F.regexp_extract_all(heading, F.lit(r"(?:article|annexe|avenant) (?:[ivxlc]+|\d+)"), F.lit(0))
+    first = lambda k: F.position(F.lit(" "), k) + 1
+    heads = F.transform(found, lambda k: F.transform(F.sequence(first(k), F.length(k)), lambda n: F.substr(k, F.lit(1), n)))
+    return F.array_distinct(F.flatten(heads))
+
+
 def is_document_reference(c: Column) -> Column:
     """The text leads with a document element, after one determiner at most."""
     determiner = r"(?i)^(?:l['’]|d['’]|les?\s+|du\s+|des\s+|de\s+la\s+|au[x]?\s+|à\s+l['’])"

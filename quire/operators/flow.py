@@ -56,7 +56,7 @@ def with_policy(df: DataFrame, policies: DataFrame, key: Column, *, on: str = "c
     own = policies.where(F.col(on) != "*").select(F.col(on).alias("_k"), F.lit(True).alias("_own"), *(F.col(c).alias(f"_own_{c}") for c in values))
     rest = policies.where(F.col(on) == "*").select(F.lit(True).alias("_any"), *(F.col(c).alias(f"_any_{c}") for c in values))
     keyed = df.withColumn("_key", key)
-    joined = keyed.join(F.broadcast(own), F.col("_key") == F.col("_k"), "left").join(F.broadcast(rest), F.lit(True), "left")
+    joined = keyed.join(own, F.col("_key") == F.col("_k"), "left").join(F.broadcast(rest.limit(1)), F.lit(True), "left")  # one row has the key *
     chosen = F.when(F.col("_own"), F.col("_key")).when(F.col("_any"), F.lit("*"))
     return joined.select(*df.columns, chosen.alias(f"p_{on}"), *(F.when(F.col("_own"), F.col(f"_own_{c}")).otherwise(F.col(f"_any_{c}")).alias(f"p_{c}") for c in values))
 
@@ -171,7 +171,7 @@ def attestations(jobs: DataFrame, templates: DataFrame) -> DataFrame:
     role's value.  ``record_fields`` is a map of values; ``roles`` a struct of field names."""
     roles = templates.where("roles.holder_field <> '' AND roles.issue_date_field <> '' AND roles.expiry_date_field <> ''").select("template_id", "roles")
     read = lambda role: F.try_element_at(F.col("record_fields"), F.col(f"roles.{role}"))
-    made = jobs.where("status = 'done'").join(F.broadcast(roles), "template_id").select("job_id", read("holder_field").alias("holder_name"), read("issue_date_field").alias("issue_date"), read("expiry_date_field").alias("expiry_date"))
+    made = jobs.where("status = 'done'").join(roles, "template_id").select("job_id", read("holder_field").alias("holder_name"), read("issue_date_field").alias("issue_date"), read("expiry_date_field").alias("expiry_date"))
     return made.where("holder_name <> '' AND issue_date <> '' AND expiry_date <> ''")
 
 

@@ -262,13 +262,13 @@ def hops(edges: DataFrame, chunks: DataFrame) -> DataFrame:
 def reference_edges(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Edges ``(edge_id, source, ancien, nouveau)`` between passages, kept where ``ancien`` names a
     document element, each end resolved to the first chunk ``(chunk_id, heading)`` whose heading
-    holds its key; an end that is named but not found dangles."""
+    holds its key; an end that is named but not found dangles.  Headings give all the keys that they hold,
+    so ends and headings meet by equality."""
     kept = edges.where(text.is_document_reference(F.col("ancien")))
-    headed = chunks.where("heading IS NOT NULL").select("chunk_id", text.heading_key(F.col("heading")).alias("_heading"))
+    held = chunks.where("heading IS NOT NULL").select("chunk_id", F.explode(text.keys_in(text.heading_key(F.col("heading")))).alias("_key"))
 
     def resolve(df: DataFrame, end: str) -> DataFrame:
-        keys = df.select(text.reference_key(F.col(end)).alias("_key")).where("_key IS NOT NULL").distinct()
-        hits = headed.join(F.broadcast(keys), F.col("_heading").contains(F.col("_key"))).groupBy("_key").agg(F.min("chunk_id").alias(f"{end}_target"))
+        hits = held.groupBy("_key").agg(F.min("chunk_id").alias(f"{end}_target"))
         return df.withColumn("_key", text.reference_key(F.col(end))).join(hits, "_key", "left").drop("_key").withColumn(f"{end}_dangling", F.col(end).isNotNull() & F.col(f"{end}_target").isNull())
 
     return resolve(resolve(kept, "ancien"), "nouveau")
