@@ -1,7 +1,9 @@
 """Literal cases, one table for each operator."""
 
+import collections
 import datetime
 import difflib
+import math
 import random
 import unicodedata
 
@@ -401,3 +403,21 @@ def test_summaries_inside_a_document(spark):
     assert words == [(1, 1, "beta", 5), (1, 2, "alpha", 1), (3, 1, "deux", 1), (3, 2, "trois", 1)]
     best = [(r["sentence_no"], r["sentence"], r["score"]) for r in retrieval.key_sentences(docs.where("doc_id = 1"), k=2).collect()]
     assert best == [(0, "Alpha beta.", 3.0), (4, "Beta beta beta", 5.0)] or best == [(0, "Alpha beta.", 3.0), (3, "Beta beta beta", 5.0)]
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_similar_pairs_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(drafting, "BLOCK", block)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("alpha beta gamma delta kappa sigma omega theta".split()) for _ in range(rnd.randrange(1, 7)))) for i in range(40)] + [(90, ""), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {i: collections.Counter((t or "").split()) for i, t in rows}
+    df = collections.Counter(w for c in counts.values() for w in c)
+    vectors = {}
+    for i, c in counts.items():
+        raw = {w: n * (math.log((len(rows) + 1) / (df[w] + 1)) + 1) for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        vectors[i] = {w: x / norm for w, x in raw.items()}
+    want = {(a, b): round(s, 9) for a in vectors for b in vectors if a < b and (s := sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items())) >= 0.5}
+    made = {(r["a"], r["b"]): round(r["score"], 9) for r in drafting.pairwise_similarity(docs).collect()}
+    assert made == want
