@@ -19,6 +19,8 @@ from quire.functions import text
 
 RATIO = 0.75
 SHORTEST = 4
+#: Needles that are broadcast at once, by number and by characters.
+MOST_NEEDLES, MOST_CHARACTERS = 4096, 1 << 20
 
 
 def near_enough(needle: str, line: str) -> bool:
@@ -66,18 +68,41 @@ def _anchors(templates: DataFrame) -> DataFrame:
     return each.withColumn("needle", text.match_key(F.col("anchor")))
 
 
+def _by_leading(keyed: DataFrame, needles: DataFrame) -> DataFrame:
+    """Lines and the needles that they hold, by equality of a needle's first characters with some of a line's."""
+    out = None
+    for size in range(1, SHORTEST + 1):
+        some = needles.where(F.length("needle") >= size if size == SHORTEST else F.length("needle") == size)
+        starts = F.when(F.length("key") >= size, F.sequence(F.lit(1), F.length("key") - size + 1))
+        grams = F.array_distinct(F.transform(starts, lambda at: F.col("key").substr(at, F.lit(size))))
+        spread = keyed.select("doc_id", "line_no", "key", F.explode(grams).alias("lead"))
+        met = spread.join(some.withColumn("lead", F.substring("needle", 1, size)), "lead").where(F.col("key").contains(F.col("needle")))
+        out = met if out is None else out.unionByName(met)
+    return out.select("doc_id", "needle", "line_no")
+
+
 def find_anchors(lines: DataFrame, anchors: DataFrame, *, fuzzy: bool = True) -> DataFrame:
     """``(doc_id, needle, line_no)``: the first line that holds each needle.
 
-    ``anchors`` has a column ``needle``; templates are few, so it is the broadcast side of the join."""
+    ``anchors`` has a column ``needle``.  Needles are counted first and are the broadcast side of the join while they
+    are few; more of them meet lines by their leading characters, and the fuzzy branch takes them block by block."""
     keyed = lines.select("doc_id", "line_no", text.match_key(F.col("text")).alias("key"))
     needles = anchors.select("needle").where("needle <> ''").distinct()
-    exact = keyed.join(F.broadcast(needles), F.col("key").contains(F.col("needle"))).select("doc_id", "needle", "line_no")
+    number, characters = needles.agg(F.count("*"), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
+    blocks = 1 + max(number // MOST_NEEDLES, characters // MOST_CHARACTERS)
+    if blocks == 1:
+        exact = keyed.join(F.broadcast(needles), F.col("key").contains(F.col("needle"))).select("doc_id", "needle", "line_no")
+    else:
+        exact = _by_leading(keyed, needles)
     if not fuzzy:
         return exact.groupBy("doc_id", "needle").agg(F.min("line_no").alias("line_no"))
-    able = F.broadcast(needles.where(F.length("needle") >= SHORTEST))
-    pairs = keyed.select("key").distinct().join(able, ~F.col("key").contains(F.col("needle")) & (F.length("key") >= F.length("needle") - 1)).select("key", "needle")
-    near = pairs.where(_near("needle", "key"))
+    able, keys = needles.where(F.length("needle") >= SHORTEST), keyed.select("key").distinct()
+    like = ~F.col("key").contains(F.col("needle")) & (F.length("key") >= F.length("needle") - 1)
+    near = None
+    for block in range(blocks):
+        some = able if blocks == 1 else able.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block)
+        found = keys.join(F.broadcast(some), like).select("key", "needle").where(_near("needle", "key"))
+        near = found if near is None else near.unionByName(found)
     loose = keyed.join(near, "key").select("doc_id", "needle", "line_no")
     return exact.unionByName(loose).groupBy("doc_id", "needle").agg(F.min("line_no").alias("line_no"))
 
@@ -87,7 +112,7 @@ def match_templates(lines: DataFrame, templates: DataFrame, *, fuzzy: bool = Tru
     a template without anchors matches nothing, a document without a match has no row."""
     anchors = _anchors(templates)
     found = find_anchors(lines, anchors, fuzzy=fuzzy)
-    held = found.join(F.broadcast(anchors), "needle").groupBy("doc_id", "template_id", "template_order", "needed").agg(F.count_distinct("anchor_no").alias("held"))
+    held = found.join(anchors, "needle").groupBy("doc_id", "template_id", "template_order", "needed").agg(F.count_distinct("anchor_no").alias("held"))
     return held.where("held = needed").groupBy("doc_id").agg(F.min_by("template_id", "template_order").alias("template_id"), F.min("template_order").alias("template_order"))
 
 

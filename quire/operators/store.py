@@ -59,7 +59,7 @@ def queue(jobs: DataFrame, status: str, lane: str | None = None) -> DataFrame:
 def claim(jobs: DataFrame, now) -> DataFrame:
     """The oldest received job of each lane starts; the rest stay."""
     oldest = jobs.where("status = 'received'").groupBy("execution_lane").agg(F.min("job_id").alias("_claimed")).select("_claimed")
-    joined = jobs.join(F.broadcast(oldest), F.col("job_id") == F.col("_claimed"), "left")
+    joined = jobs.join(oldest, F.col("job_id") == F.col("_claimed"), "left")
     hit = F.col("_claimed").isNotNull()
     return joined.select(*(F.when(hit, F.lit("processing")).otherwise(F.col("status")).alias(c) if c == "status" else (F.col("attempts") + hit.cast("int")).alias(c) if c == "attempts" else F.when(hit, now).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in jobs.columns))
 

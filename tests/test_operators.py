@@ -234,6 +234,29 @@ def test_greedy_clusters_never_merge(spark):
     assert {r["doc_id"]: r["cluster"] for r in made.collect()} == plain_clusters(range(60), edges)
 
 
+@pytest.mark.parametrize("chance", [0.02, 0.2])
+def test_greedy_clusters_of_one_large_component(spark, chance):
+    rnd = random.Random(int(chance * 100))
+    chain = {(i, i + 1) for i in range(0, 149, 2)}
+    edges = chain | {(a, b) for a in range(150) for b in range(a + 1, 150) if rnd.random() < chance}
+    given = [(b, a) if rnd.random() < 0.5 else (a, b) for a, b in sorted(edges)]
+    docs = spark.range(152).select(F.col("id").alias("doc_id"))
+    made = drafting.greedy_clusters(docs, spark.createDataFrame(given, "a long, b long"))
+    assert {r["doc_id"]: r["cluster"] for r in made.collect()} == plain_clusters(range(152), edges)
+
+
+def test_many_needles_find_the_same_lines(spark, monkeypatch):
+    bodies = ["Apache Licence v2\nab", "an Apach licence", "a\nXYZ tail", None, "", "xyz"]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    needles = spark.createDataFrame([("apachelicence",), ("a",), ("ab",), ("xyz",), ("zta",), ("",), ("licence",)], "needle string")
+    for fuzzy in (False, True):
+        few = match.find_anchors(L.text_lines(docs), needles, fuzzy=fuzzy).collect()
+        with monkeypatch.context() as patch:
+            patch.setattr(match, "MOST_NEEDLES", 2)
+            many = match.find_anchors(L.text_lines(docs), needles, fuzzy=fuzzy).collect()
+        assert few and sorted(few) == sorted(many)
+
+
 def test_names_are_unique(spark):
     labels = spark.createDataFrame([(1, i, t) for i, t in enumerate(["Nom", "Nom 2", "nom", "NOM"])], "cluster long, label_no int, label string")
     assert [r["name"] for r in drafting.unique_names(labels).orderBy("label_no").collect()] == ["nom", "nom_2", "nom_3", "nom_4"]
