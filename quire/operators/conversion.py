@@ -72,3 +72,25 @@ def attempt_summary(attempts: DataFrame) -> DataFrame:
     the ranges that were no clean success, in order."""
     odd = F.when(F.col("status") != "success", F.struct("range_start", "range_end", "status"))
     return attempts.groupBy("doc_id").agg(F.count("*").cast("int").alias("attempts"), F.array_sort(F.collect_list(odd)).alias("nonclean"))
+
+
+def stream_name(head: Column) -> Column:
+    """A page image's name by its first bytes: JPEG, else PNG."""
+    return F.when(F.hex(F.substring(head, 1, 3)) == "FFD8FF", "page.jpg").otherwise("page.png")
+
+
+def positioned_spans(items: DataFrame, pages: DataFrame, produced: DataFrame) -> DataFrame:
+    """``(doc_id, item_no, page_no, text, page_width, page_height, x0, y0, x1, y1)`` of a converter's items ``(doc_id,
+    item_no, page_no, text, l, t, r, b, bottom_left)`` on produced pages ``(doc_id, page_no)``; blank items go.
+
+    Boxes count from the top left; those that count from the bottom are turned where the page's height is known.  A
+    page whose width or height is missing or zero has no size, so its items have no place on it."""
+    sized = pages.select("doc_id", "page_no", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    found = items.where(~F.col("text").rlike(r"(?U)^\s*$")).join(produced.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_semi")
+    turn = F.col("bottom_left") & F.col("_h").isNotNull()
+    top, bottom = (F.when(turn, F.col("_h") - F.col(c)).otherwise(F.col(c)) for c in ("t", "b"))
+    whole = (F.col("_w") != 0) & (F.col("_h") != 0)
+    size = {"page_width": F.when(whole, F.col("_w")), "page_height": F.when(whole, F.col("_h"))}
+    box = {"x0": F.least("l", "r"), "y0": F.least(top, bottom), "x1": F.greatest("l", "r"), "y1": F.greatest(top, bottom)}
+    joined = found.join(sized, ["doc_id", "page_no"], "left")
+    return joined.select("doc_id", "item_no", "page_no", "text", *(c.alias(name) for name, c in {**size, **box}.items()))

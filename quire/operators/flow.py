@@ -13,6 +13,7 @@ NO_RULES = "structured template matched but has no single-doc validation rules (
 NO_TEXT = "no structured match and no extractable text (image needs an OCR engine)"
 
 #: The recto's fields and what the machine-readable zone calls them.
+OVERFLOW_ACTIONS = ("defer", "reject_503")
 KEYS = {"numero_document": "document_number", "nom": "surname", "prenoms": "given_names", "date_naissance": "birth_date", "date_expiration": "expiry_date"}
 
 
@@ -157,7 +158,7 @@ def setting(value: Column, kind: str, default) -> Column:
     if kind == "limit":
         number = F.when(F.trim(value).rlike(r"^\+?\d+$"), F.trim(value).try_cast("int"))
         return F.when(number >= 1, number).otherwise(F.lit(default))
-    return F.when(value.isin("defer", "reject"), value).otherwise(F.lit(default))
+    return F.when(value.isin(*OVERFLOW_ACTIONS), value).otherwise(F.lit(default))
 
 
 def use_case(jobs: DataFrame, keys: DataFrame, *, default: str = "ci_pii") -> DataFrame:
@@ -234,3 +235,17 @@ def job_rows(outcomes: DataFrame, **given: Column) -> DataFrame:
     own = {"source": "source", "category_lane": "lane", "status": "status", "verdict": "verdict", "category": "category", "template_id": "template_id", "record_fields": "fields", "reasons": "reasons"}
     made = {name: F.col(c) for name, c in own.items()} | {"execution_lane": F.lit("fast")} | given
     return outcomes.select(*(c.alias(name) for name, c in made.items()))
+
+
+def door_answer(admitted: Column, limit: Column, action: Column, reasons: Column) -> Column:
+    """``struct(http, execution_lane, reasons, retry_after)`` of a call for an answer at once: none of these where it
+    found a slot; else it is refused, or waits as ``action`` has it."""
+    full = F.concat(F.lit("sync capacity saturated ("), limit.cast("string"), F.lit(" in flight) — "))
+    refused, waits = ~admitted & (action == "reject_503"), ~admitted & (action != "reject_503")
+    why = F.when(refused, F.array(F.concat(full, F.lit("retry")))).when(waits, F.concat(reasons, F.array(F.concat(full, F.lit("deferred per overflow policy"))))).otherwise(reasons)
+    return F.struct(F.when(refused, 503).when(waits, 202).alias("http"), F.when(waits, "deferred").alias("execution_lane"), why.alias("reasons"), F.when(refused, 5).alias("retry_after"))
+
+
+def policy_payload(policies: DataFrame) -> DataFrame:
+    """What the settings page shows of a policy."""
+    return policies.select("category", "execution_mode", "override_allowed", "updated_at")

@@ -6,13 +6,19 @@ path; a path that is being read is never written.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What a policy and a key may name.
+EXECUTION_MODES = ("sync", "async_immediate", "async_nightly")
+CONFORMITY_ACTIONS = ("block", "block_holder", "flag_and_continue")
+USE_CASES = ("ci_pii", "sop_contract")
 STATUSES = ("received", "processing", "needs_review", "done", "rejected", "failed")
 
 
@@ -172,3 +178,44 @@ def replayed(requests: DataFrame, *, capacity: int = 1024) -> DataFrame:
 
     schema = T.StructType([*(requests.schema[c] for c in ("host", "seq", "request_id")), T.StructField("replay", T.BooleanType())])
     return requests.select("host", "seq", "request_id").repartition("host").sortWithinPartitions("host", "seq").mapInPandas(run, schema)
+
+
+def settled(table: DataFrame, rows: DataFrame, key: str, now: Column, *, column: str | None = None, allowed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """A settings table after ``rows``, and the rows refused as their ``column`` has no known value, with ``error``.
+
+    A row that replaces one keeps when that was created; both times of a new one are ``now``."""
+    timed = rows.withColumns({"created_at": now, "updated_at": now})
+    if column is None:
+        return upsert(table, timed, key), timed.withColumn("error", F.lit(None).cast("string")).where(F.lit(False))
+    fine = F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+    error = F.concat(F.lit(f"unknown {column}: "), F.coalesce(F.col(column), F.lit("none")))
+    return upsert(table, timed.where(fine), key), rows.where(~fine).withColumn("error", error)
+
+
+def listing(table: DataFrame, key: str) -> DataFrame:
+    """All rows in order of their key."""
+    return table.orderBy(key)
+
+
+def seeded(table: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Templates after a start that reads them from files: each is in use again and its version counts up."""
+    return upsert(table, seeds.withColumn("active", F.lit(True)), "template_id", version="version")
+
+
+def issue_key(spark: SparkSession, label: str, use_case: str) -> tuple[str, DataFrame]:
+    """A fresh key for its caller, and the row ``(key_hash, label, use_case)`` that is stored, without the key."""
+    if use_case not in USE_CASES:
+        raise ValueError(f"unknown use_case: {use_case!r}")
+    raw = secrets.token_urlsafe(32)
+    row = (hashlib.sha256(raw.encode()).hexdigest(), label, use_case)
+    return raw, spark.createDataFrame([row], "key_hash string, label string, use_case string")
+
+
+def encoded(value: Column) -> Column:
+    """A map or list as the JSON text of a column."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def decoded(value: Column, schema: str) -> Column:
+    """The map or list of a JSON column, empty where the text is missing or empty; text that can't be read is an error."""
+    return F.from_json(F.coalesce(F.nullif(value, F.lit("")), F.lit("[]" if schema.startswith("array") else "{}")), schema, {"mode": "FAILFAST"})

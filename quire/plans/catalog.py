@@ -143,7 +143,7 @@ _TODAY = datetime.date(1998, 1, 1)
 @query(f"""WITH {S.DATES} SELECT doc_id, CASE WHEN unread THEN 'review' WHEN ending < DATE '1998-01-01' THEN 'reject' ELSE 'auto' END AS verdict,
  CASE WHEN unread THEN 'date_order check: missing/unreadable issue' WHEN ending < DATE '1998-01-01' THEN 'date_order check failed: end ' || ending || ' is in the past (expired as of 1998-01-01)' ELSE '' END AS reasons FROM dates""")
 def check_date_order(spark: SparkSession, folder: str) -> DataFrame:
-    """A window that must be in order and not over."""
+    """A window that must be in order and not over."""
     rules = [{"check": "date_order", "earlier": "issue", "later": "end", "require_future": True}]
     return checks.evaluate(S.date_fields(spark, folder), rules, checks.Context(today=_TODAY)).select("doc_id", "verdict", F.array_join("reasons", "|").alias("reasons"))
 
@@ -641,13 +641,13 @@ def use_case_keys(spark: SparkSession, folder: str) -> DataFrame:
     return flow.use_case(calls, keys).select("doc_id", "use_case")
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 2 ELSE CAST(o_orderkey % 5 AS INTEGER) END AS slots, CASE WHEN o_orderkey % 2 = 0 THEN 'reject' ELSE 'defer' END AS overflow,
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 2 ELSE CAST(o_orderkey % 5 AS INTEGER) END AS slots, CASE WHEN o_orderkey % 2 = 0 THEN 'reject_503' ELSE 'defer' END AS overflow,
  CASE WHEN o_orderkey % 6 IN (0, 1) THEN 'pending' ELSE 'done' END AS client, CASE WHEN o_orderkey % 6 IN (0, 1) THEN 202 ELSE 200 END AS http FROM orders""")
 def settings_and_status(spark: SparkSession, folder: str) -> DataFrame:
     """Live settings with defaults, and what a client sees."""
     jobs, key = _jobs(spark, folder), F.col("job_id")
     limit = F.when(key % 5 == 0, "0").when(key % 5 == 1, "many").otherwise((key % 5).cast("string"))
-    return jobs.select(key.alias("doc_id"), flow.setting(limit, "limit", 2).alias("slots"), flow.setting(F.when(key % 2 == 0, "reject").otherwise("what"), "overflow", "defer").alias("overflow"), flow.client_status(F.col("status")).alias("client"), flow.http_status(F.col("status")).alias("http"))
+    return jobs.select(key.alias("doc_id"), flow.setting(limit, "limit", 2).alias("slots"), flow.setting(F.when(key % 2 == 0, "reject_503").otherwise("reject"), "overflow", "defer").alias("overflow"), flow.client_status(F.col("status")).alias("client"), flow.http_status(F.col("status")).alias("http"))
 
 
 @query(f"""SELECT o_orderkey AS job_id, 'holder ' || o_custkey AS holder_name FROM orders WHERE o_orderkey % 6 = 4 AND o_orderstatus = 'O' AND o_orderkey % 10 <> 0""")
@@ -681,7 +681,7 @@ def already_staged(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN CASE doc_id % 4 WHEN 0 THEN 'lic_apache' WHEN 1 THEN 'lic_gpl' ELSE 'lic_any' END END AS template_id,
  doc_id % 4 <> 3 AND contains(lower(text), 'license') AS tried, doc_id % 4 <> 3 AND contains(lower(text), 'license') AND doc_id % 3 = 0 AND doc_id % 2 = 0 AS verified FROM documents""")
 def suggestion_gates(spark: SparkSession, folder: str) -> DataFrame:
-    """A proposed template, held against the list, the text and its own checks."""
+    """A proposed template, held against the list, the text and its own checks."""
     key = F.col("doc_id")
     proposed = F.when(key % 4 == 0, "lic_apache").when(key % 4 == 1, "lic_gpl").when(key % 4 == 2, "lic_any").otherwise("UNKNOWN")
     reasons = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("version: required (presence) but not read")))

@@ -393,6 +393,88 @@ def admissions(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.concurrency(calls, 2)
 
 
+def _policies(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third customer's category with a policy."""
+    mode = _by(F.col("k"), *store.EXECUTION_MODES)
+    return _customers(spark, folder).where("k % 3 <> 0").select(F.concat(F.lit("cat "), F.col("k").cast("string")).alias("category"), mode.alias("execution_mode"), (F.col("k") % 2 == 0).alias("override_allowed"), F.lit("first").alias("created_at"), F.lit("first").alias("updated_at"))
+
+
+@query("""SELECT 'cat ' || c_custkey AS category, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 0 THEN 'async_nightly' ELSE CASE c_custkey % 3 WHEN 0 THEN 'sync' WHEN 1 THEN 'async_immediate' ELSE 'async_nightly' END END AS execution_mode,
+ CASE WHEN c_custkey % 3 = 0 THEN 'now' ELSE 'first' END AS created_at, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 0 THEN 'now' ELSE 'first' END AS updated_at, CAST(NULL AS VARCHAR) AS error FROM customer WHERE c_custkey % 3 <> 0 OR (c_custkey % 2 = 0 AND c_custkey % 5 <> 0)
+UNION ALL SELECT 'cat ' || c_custkey, CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE 'later' END, NULL, NULL, 'unknown execution_mode: ' || CASE WHEN c_custkey % 20 = 0 THEN 'none' ELSE 'later' END FROM customer WHERE c_custkey % 10 = 0""")
+def settled_policies(spark: SparkSession, folder: str) -> DataFrame:
+    """Policies replaced and added, unknown modes refused, read in order."""
+    mode = F.when(F.col("k") % 20 == 0, None).when(F.col("k") % 10 == 0, "later").otherwise("async_nightly")
+    rows = _customers(spark, folder).where("k % 2 = 0").select(F.concat(F.lit("cat "), F.col("k").cast("string")).alias("category"), mode.alias("execution_mode"), F.lit(True).alias("override_allowed"))
+    after, refused = store.settled(_policies(spark, folder), rows, "category", F.lit("now"), column="execution_mode", allowed=store.EXECUTION_MODES)
+    made = store.listing(after, "category").select("category", "execution_mode", "created_at", "updated_at", F.lit(None).cast("string").alias("error"))
+    return made.unionByName(refused.select("category", "execution_mode", "error"), allowMissingColumns=True)
+
+
+@query("SELECT 'cat ' || c_custkey AS category, c_custkey % 2 = 0 AS override_allowed, 'first' AS updated_at FROM customer WHERE c_custkey = 4")
+def policy_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """One policy as the settings page shows it."""
+    return flow.policy_payload(store.by_key(_policies(spark, folder), "category", "cat 4")).select("category", "override_allowed", "updated_at")
+
+
+@query("""SELECT 't' || p_partkey AS template_id, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS version, p_partkey % 2 = 0 OR p_partkey % 3 <> 0 AS active, 'first' AS created_at FROM part""")
+def seeded_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates after a start: those that files hold are in use again, a version on."""
+    templates = _templates(spark, folder)
+    seeds = templates.where("cast(substring(template_id, 2) as long) % 2 = 0").select("template_id", "category")
+    return store.seeded(templates, seeds).select("template_id", "version", "active", "created_at")
+
+
+@query("SELECT 'desk' AS label, 'sop_contract' AS use_case, 43 AS characters, 'sop_contract' AS found, 64 AS stored")
+def issued_key(spark: SparkSession, folder: str) -> DataFrame:
+    """A key that was issued is known by its hash alone."""
+    raw, row = store.issue_key(spark, "desk", "sop_contract")
+    calls = row.select("label", F.col("use_case").alias("given"), F.length("key_hash").alias("stored"), F.lit(raw).alias("api_key"))
+    return flow.use_case(calls, row).select("label", F.col("given").alias("use_case"), F.length("api_key").alias("characters"), F.col("use_case").alias("found"), "stored")
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN '{"nom":"' || c_name || '","vide":null}' WHEN c_custkey % 3 = 1 THEN '' END AS stored,
+ CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS n_fields, CASE WHEN c_custkey % 2 = 0 THEN 'é,"b"' ELSE '' END AS reasons FROM customer""")
+def json_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Maps and lists as JSON columns and back, empty where there is none."""
+    record = F.create_map(F.lit("nom"), F.col("c_name"), F.lit("vide"), F.lit(None).cast("string"))
+    stored = F.when(F.col("k") % 3 == 0, store.encoded(record)).when(F.col("k") % 3 == 1, "")
+    reasons = F.when(F.col("k") % 2 == 0, store.encoded(_strings("é", '"b"')))
+    made = _customers(spark, folder).select(F.col("k").alias("doc_id"), stored.alias("stored"), store.decoded(stored, "map<string,string>").alias("fields"), store.decoded(reasons, "array<string>").alias("reasons"))
+    return made.select("doc_id", F.try_element_at("fields", F.lit("nom")).alias("name"), "stored", F.size("fields").alias("n_fields"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'page.jpg' ELSE 'page.png' END AS name FROM customer")
+def stream_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Page images named by their first bytes."""
+    head = F.unhex(_by(F.col("k"), "FFD8FFE0", "89504E47", None))
+    return _customers(spark, folder).select(F.col("k").alias("doc_id"), conversion.stream_name(head).alias("name"))
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS item_no, CASE WHEN l_linenumber % 3 <> 0 AND l_orderkey % 4 <> 0 THEN 600.0 END AS page_width, l_quantity AS x0, l_quantity + 50 AS x1,
+ CASE WHEN l_linenumber % 2 = 0 AND l_linenumber % 3 <> 0 THEN CASE WHEN l_orderkey % 4 = 0 THEN 0.0 ELSE 800.0 END - 40 ELSE 20.0 END AS y0,
+ CASE WHEN l_linenumber % 2 = 0 AND l_linenumber % 3 <> 0 THEN CASE WHEN l_orderkey % 4 = 0 THEN 0.0 ELSE 800.0 END - 20 ELSE 40.0 END AS y1 FROM lineitem WHERE l_linenumber <> 5 AND l_linenumber <> 1""")
+def positioned_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """A converter's items with their boxes from the top left, on pages that were produced."""
+    key, k = F.col("l_orderkey"), F.col("l_linenumber")
+    item = S.table(spark, folder, "lineitem")
+    words = F.when(k == 5, " \u00a0 ").otherwise("words")
+    items = item.select(key.alias("doc_id"), k.alias("item_no"), k.alias("page_no"), words.alias("text"), (F.col("l_quantity") + 50).alias("l"), F.lit(20.0).alias("t"), F.col("l_quantity").alias("r"), F.lit(40.0).alias("b"), (k % 2 == 0).alias("bottom_left"))
+    each = item.select(key.alias("doc_id"), k.alias("page_no")).distinct()
+    pages = each.where("page_no % 3 <> 0").select("doc_id", "page_no", F.lit(600.0).alias("width"), F.when(F.col("doc_id") % 4 == 0, 0.0).otherwise(800.0).alias("height"))
+    return conversion.positioned_spans(items, pages, each.where("page_no <> 1")).select("doc_id", "item_no", "page_width", "x0", "x1", "y0", "y1")
+
+
+@query("""SELECT c_custkey AS call_id, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 503 ELSE 202 END AS http, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 1 THEN 'deferred' END AS execution_lane,
+ CASE WHEN c_custkey % 3 = 0 THEN 'seen' WHEN c_custkey % 2 = 0 THEN 'sync capacity saturated (2 in flight) — retry' ELSE 'seen|sync capacity saturated (2 in flight) — deferred per overflow policy' END AS reasons, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 5 END AS retry_after FROM customer""")
+def overflow_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of calls that find no free slot: refused, or answered later."""
+    action = flow.setting(_by(F.col("k"), "reject_503", "unknown"), "overflow", "defer")
+    answer = flow.door_answer(F.col("k") % 3 == 0, F.lit(2), action, _strings("seen"))
+    made = _customers(spark, folder).select(F.col("k").alias("call_id"), answer.alias("a")).select("call_id", "a.*")
+    return made.withColumn("reasons", F.array_join("reasons", "|"))
+
+
 # retrieval and drafts
 
 
