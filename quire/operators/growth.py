@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions import text
+from quire.functions import text, values
 from quire.operators import drafting, extract, store
+from quire.operators.lines import text_lines as lines_of
 
 # What a reference may say, its longest name, and an attestation's roles.
 RELATIONS = ("REMPLACE", "MODIFIE", "ABROGE", "RENVOIE", "DEFINIT")
@@ -174,20 +175,101 @@ def candidate_values(lines: DataFrame, clusters: DataFrame, candidates: DataFram
     return out
 
 
+def matching(lines: DataFrame, clusters: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(cluster)``: those whose every document holds every anchor of its draft ``(cluster, anchors)``."""
+    wanted = anchors.select("cluster", F.size("anchors").alias("needed"), F.posexplode("anchors").alias("anchor_no", "anchor")).withColumn("needle", text.match_key(F.col("anchor")))
+    keyed = lines.join(clusters, "doc_id").select("cluster", "doc_id", text.match_key(F.col("text")).alias("key"))
+    met = keyed.join(wanted, "cluster").where(F.col("key").contains(F.col("needle")) & (F.col("needle") != ""))
+    held = met.groupBy("cluster", "needed").agg(F.count_distinct("doc_id", "anchor_no").alias("held"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
+    return held.join(sizes, "cluster").where("held = members * needed").select("cluster")
+
+
+def _day(value: Column) -> Column:
+    """A date written either way round."""
+    return F.coalesce(values.iso_date(value), values.french_date(value))
+
+
+def value_checks(read: DataFrame) -> DataFrame:
+    """``(cluster, rules, dated)`` of values ``(cluster, doc_id, label_no, name, value)`` that every member has: the checks
+    that they suggest, date fields in order and at a distance of whole years, then closed lists; and the date fields,
+    each with whether it is to be turned into ISO dates.
+
+    Suggested rules are then held against every document, read anew with dates turned; where one fails all go."""
+    fields = read.withColumn("value", text.strip(F.col("value"))).withColumn("day", _day(F.col("value")))
+    each = fields.groupBy("cluster", "label_no", "name").agg(F.bool_and(F.col("day").isNotNull()).alias("dates"), F.bool_or(values.iso_date(F.col("value")).isNull()).alias("turned"))
+    days = fields.join(each.where("dates").select("cluster", "name"), ["cluster", "name"])
+    pairs = drafting.kept(drafting.date_candidates(days.select("cluster", "doc_id", "name", F.col("day").alias("value"))))
+    codes = drafting.vocabulary_candidates(fields.join(each.where("NOT dates").select("cluster", "name"), ["cluster", "name"]).select("cluster", "doc_id", "name", "value"))
+    none, text_type = F.lit(None), "string"
+    rule = lambda check, first, second, years, allowed: F.struct(F.lit(check).alias("check"), first.alias("first"), second.cast(text_type).alias("second"), years.cast("int").alias("years"), allowed.cast("array<string>").alias("allowed"))
+    place = [F.least("earlier", "later"), F.greatest("earlier", "later")]
+    order = pairs.select("cluster", F.struct(F.lit(0).alias("kind"), place[0].alias("a"), place[1].alias("b"), F.lit(0).alias("n")).alias("at"), rule("date_order", F.col("earlier"), F.col("later"), none, none).alias("rule"))
+    span = pairs.where("years IS NOT NULL").select("cluster", F.struct(F.lit(0).alias("kind"), place[0].alias("a"), place[1].alias("b"), F.lit(1).alias("n")).alias("at"), rule("date_span", F.col("earlier"), F.col("later"), F.col("years"), none).alias("rule"))
+    listed = codes.join(each, ["cluster", "name"]).select("cluster", F.struct(F.lit(1).alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), F.col("label_no").alias("n")).alias("at"), rule("vocabulary", F.col("name"), none, none, F.col("allowed")).alias("rule"))
+    rules = order.unionByName(span).unionByName(listed).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "rule"))), lambda r: r["rule"]).alias("rules"))
+    rows = fields.groupBy("cluster", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.coalesce(F.col("day").cast("string"), "value").alias("value")))).alias("values"))
+
+    def holds(r: Column) -> Column:
+        first, second = F.col("values")[r["first"]], F.col("values")[r["second"]]
+        gap = F.abs(F.datediff(second.cast("date"), values.add_years(first.cast("date"), r["years"])))
+        unknown = F.array_except(F.filter(F.split(first, r"(?U)[\s,;/]+"), lambda t: t != ""), r["allowed"])
+        return F.when(r["check"] == "date_order", first < second).when(r["check"] == "date_span", gap <= drafting.SPAN_DAYS).otherwise(F.size(unknown) == 0)
+
+    held = rows.join(rules, "cluster").groupBy("cluster").agg(F.bool_and(F.forall("rules", lambda r: F.coalesce(holds(r), F.lit(False)))).alias("held"), F.first("rules").alias("rules"))
+    dated = each.where("dates").groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("name", "turned"))).alias("dated"))
+    return held.where("held").select("cluster", "rules").join(dated, "cluster", "full_outer").join(held.where("NOT held").select("cluster"), "cluster", "left_anti")
+
+
+def _rule_json(r: Column) -> Column:
+    order = F.to_json(F.struct(r["check"].alias("check"), r["first"].alias("earlier"), r["second"].alias("later")))
+    span = F.to_json(F.struct(r["check"].alias("check"), r["first"].alias("start"), r["second"].alias("end"), r["years"].alias("years"), F.lit(drafting.SPAN_DAYS).alias("tolerance_days")))
+    listed = F.to_json(F.struct(r["check"].alias("check"), r["first"].alias("field"), r["allowed"].alias("allowed")))
+    return F.when(r["check"] == "date_order", order).when(r["check"] == "date_span", span).otherwise(listed)
+
+
 def draft_templates(lines: DataFrame, clusters: DataFrame, categories: DataFrame, taken: DataFrame) -> DataFrame:
-    """``(cluster, template_id, category, anchors, fields)``: a draft for each cluster of two or more
-    that has anchors and a field that every member fills, differently.  Fields are JSON."""
+    """``(cluster, template_id, category, anchors, fields, checks)``: a draft for each cluster of two or more
+    that has anchors, which every member holds, and a field that every member fills, differently.  Checks ask for each
+    field and are those that the values suggest (``value_checks``).  Fields and checks are JSON."""
     several = clusters.join(clusters.groupBy("cluster").count().where("count > 1"), "cluster").select("doc_id", "cluster")
+    several = drafting.kept(several)
     anchors = drafting.match_anchors(drafting.invariant_lines(lines, several)).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "anchor"))), lambda a: a["anchor"]).alias("anchors"))
-    candidates = field_candidates(lines, several)
-    names = drafting.unique_names(candidates)
-    read = candidate_values(lines, several, candidates).join(names, ["cluster", "label_no"])
+    anchors = drafting.kept(anchors)
+    anchors = anchors.join(matching(lines, several, anchors), "cluster", "left_semi")
+    candidates = drafting.kept(field_candidates(lines, several))
+    candidates = drafting.kept(candidates.join(drafting.unique_names(candidates), ["cluster", "label_no"]))
+    names = candidates.select("cluster", "label_no", "name")
+    read = drafting.kept(candidate_values(lines, several, candidates.drop("name")).join(names, ["cluster", "label_no"]))
     kept = drafting.field_gate(read.select("cluster", "doc_id", "name", "value"), several).where("kept").select("cluster", "name")
-    made = candidates.join(names, ["cluster", "label_no"]).join(kept, ["cluster", "name"])
-    entry = F.when(F.col("kind") == "pattern", F.to_json(F.struct("name", text.escaped_pattern(F.col("label")).alias("pattern")))).otherwise(F.to_json(F.struct("name", F.col("label").alias("anchor"), F.col("kind").alias("direction"))))
-    fields = made.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("label_no", entry.alias("entry")))), lambda f: f["entry"]).alias("fields"))
+    kept = drafting.kept(kept)
+    suggested = drafting.kept(value_checks(read.join(kept, ["cluster", "name"], "left_semi").select("cluster", "doc_id", "label_no", "name", "value")))
+    made = candidates.join(kept, ["cluster", "name"]).join(suggested.select("cluster", "dated"), "cluster", "left")
+    turned = F.when(F.try_element_at("dated", F.col("name")), "date_ddmmyyyy").alias("normalize")
+    entry = F.when(F.col("kind") == "pattern", F.to_json(F.struct("name", text.escaped_pattern(F.col("label")).alias("pattern"), turned))).otherwise(F.to_json(F.struct("name", F.col("label").alias("anchor"), F.col("kind").alias("direction"), turned)))
+    needed = F.to_json(F.struct(F.col("name").alias("field"), F.lit("present").alias("check")))
+    listed = lambda what: F.transform(F.array_sort(F.collect_list(F.struct("label_no", what.alias("entry")))), lambda f: f["entry"])
+    fields = made.groupBy("cluster").agg(listed(entry).alias("fields"), listed(needed).alias("needed"))
     named = categories.join(drafting.free_draft_id(taken, categories), "category")
-    return anchors.join(fields, "cluster").join(named, "cluster").select("cluster", "template_id", "category", "anchors", "fields")
+    whole = anchors.join(fields, "cluster").join(named, "cluster").join(suggested.select("cluster", "rules"), "cluster", "left")
+    rules = F.transform(F.coalesce("rules", F.array()), _rule_json)
+    return whole.select("cluster", "template_id", "category", "anchors", "fields", F.concat("needed", rules).alias("checks"))
+
+
+def draft_pass(jobs: DataFrame, reviews: DataFrame, taken: DataFrame, *, least: float = drafting.THRESHOLD) -> DataFrame:
+    """``(job_id, review_id, template_id, category, anchors, fields, checks)``: the suggestions that a pass over the jobs
+    that wait stages, each with the first job of its cluster; that job's review is opened where ``review_id`` is null.
+    Clusters one of whose jobs has a suggestion are left alone, so a pass can repeat."""
+    able = readable_unknowns(jobs).where("skip_reason IS NULL")
+    docs = able.select(F.col("job_id").alias("doc_id"), "text")
+    docs = drafting.kept(docs)
+    members = drafting.greedy_clusters(docs, drafting.pairwise_similarity(docs, least=least)).select("cluster", F.col("doc_id").alias("job_id"))
+    free = drafting.kept(members.join(already_staged(members, reviews), "cluster", "left_anti"))
+    categories = drafting.cluster_category(able.join(free, "job_id").select("cluster", "category"))
+    made = draft_templates(lines_of(docs), free.select("cluster", F.col("job_id").alias("doc_id")), categories, taken)
+    first = free.groupBy("cluster").agg(F.min("job_id").alias("job_id"))
+    opened = store.first_reviews(reviews).select("job_id", "review_id")
+    return made.join(first, "cluster").join(opened, "job_id", "left").select("job_id", "review_id", "template_id", "category", "anchors", "fields", "checks")
 
 
 def drain_order(jobs: DataFrame, *, nightly: bool = False) -> DataFrame:

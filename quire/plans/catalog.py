@@ -712,7 +712,8 @@ def model_references(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "r.*")
 
 
-@query()
+@query(r"""SELECT o_custkey AS cluster, 'draft_commande_02' AS template_id, 'commande' AS category, 'Bon de commande standard|Statut' AS anchors,
+ CASE WHEN count(DISTINCT o_totalprice) > 1 THEN '{"name":"montant_total","pattern":"Montant\\ total\\s*:\\s*([^\\n]+)"}|{"name":"bon_de_commande_standard","anchor":"Bon de commande standard","direction":"below"}|' ELSE '' END || '{"name":"statut","anchor":"Statut","direction":"below"}' AS fields FROM orders GROUP BY o_custkey HAVING count(*) > 1""")
 def draft_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Templates drafted from customers' orders laid out as label lines."""
     o = S.table(spark, folder, "orders")

@@ -548,3 +548,42 @@ def renamed_fields(spark: SparkSession, folder: str) -> DataFrame:
     proposed = F.to_json(F.struct(F.concat(F.lit("Nom-"), "c_mktsegment").alias("champ"), second.alias("champ_2")))
     made = _customers(spark, folder).select(F.col("k").alias("doc_id"), growth.with_names(draft, proposed).alias("made"))
     return made.select("doc_id", F.get_json_object("made", "$.fields[0].name").alias("first"), F.get_json_object("made", "$.fields[1].name").alias("second"))
+
+
+_DRAFTED = """
+w AS (SELECT c_custkey AS k, c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer WHERE c_custkey % 6 = 2),
+c AS (SELECT n, min(k) AS job_id, count(*) AS m, bool_or(k % 14 = 0 AND n % 5 = 0) AS staged FROM w GROUP BY n)
+"""
+
+
+@query(f"""WITH {_DRAFTED} SELECT job_id, CASE WHEN job_id % 7 = 0 THEN job_id * 10 END AS review_id, CASE WHEN n % 3 = 0 THEN 'draft_seg0_02' ELSE 'draft_seg' || n % 3 || '_01' END AS template_id, 'seg' || n % 3 AS category,
+ 'Formulaire zone' || n || 'alpha zone' || n || 'beta|Rubrique zone' || n || 'epsilon zone' || n || 'zeta|Edition zone' || n || 'gamma zone' || n || 'delta' AS anchors, 2 AS n_turned,
+ '{{"field":"delivre_le","check":"present"}}|{{"field":"expire_le","check":"present"}}|{{"field":"code","check":"present"}}|{{"field":"titulaire","check":"present"}}|{{"field":"rubrique_zone' || n || 'epsilon_zone' || n || 'zeta","check":"present"}}|'
+ || '{{"check":"date_order","earlier":"delivre_le","later":"expire_le"}}|{{"check":"date_span","start":"delivre_le","end":"expire_le","years":3,"tolerance_days":2}}' || CASE WHEN m >= 4 THEN '|{{"check":"vocabulary","field":"code","allowed":["A1","B2"]}}' ELSE '' END AS checks
+FROM c WHERE m > 1 AND NOT staged""")
+def draft_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """A pass over waiting jobs: clusters, drafts with the checks that their values suggest, held against every member
+    again, staged on reviews (C33, C34)."""
+    customer, n = _customers(spark, folder), F.col("c_nationkey")
+    zone = lambda head, a, b: F.format_string(f"{head} zone%d{a} zone%d{b}", n, n)
+    row = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("k"))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("r"))
+    written = lambda c: F.date_format(c, "dd/MM/yyyy")
+    body = F.concat_ws(
+        "\n",
+        zone("Formulaire", "alpha", "beta"),
+        zone("Edition", "gamma", "delta"),
+        zone("Rubrique", "epsilon", "zeta"),
+        F.concat(F.lit("Delivre le : "), written(day)),
+        F.concat(F.lit("Expire le : "), written(F.date_add(F.add_months(day, 36), 1))),
+        F.concat(F.lit("Code : "), F.when(F.col("r") % 2 == 0, "A1").otherwise("B2")),
+        F.concat(F.lit("Titulaire : Nom"), F.col("k").cast("string")),
+    )
+    waiting = customer.where("k % 6 = 2").withColumn("r", row)
+    none = F.lit(None).cast("string")
+    jobs = waiting.select(F.col("k").alias("job_id"), F.lit("needs_review").alias("status"), none.alias("template_id"), F.lit("rag").alias("category_lane"), F.lit("src").alias("source"), F.lit("ref").alias("document_ref"), body.alias("text"), F.concat(F.lit("seg"), (n % 3).cast("string")).alias("category"))
+    reviews = customer.where("k % 7 = 0").select((F.col("k") * 10).alias("review_id"), F.col("k").alias("job_id"), F.when((n % 5 == 0) & (F.col("k") % 2 == 0), "pending").alias("suggestion_status"))
+    taken = spark.createDataFrame([("draft_seg0_01",)], "template_id string")
+    made = growth.draft_pass(jobs, reviews, taken)
+    turned = F.size(F.filter("fields", lambda f: f.contains('"normalize":"date_ddmmyyyy"')))
+    return made.select("job_id", "review_id", "template_id", "category", F.array_join("anchors", "|").alias("anchors"), turned.alias("n_turned"), F.array_join("checks", "|").alias("checks"))
