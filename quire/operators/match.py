@@ -6,10 +6,12 @@ document holds nowhere exactly go to the fuzzy branch, an Arrow UDF over distinc
 
 from __future__ import annotations
 
+import collections
 import difflib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,16 +26,26 @@ MOST_NEEDLES, MOST_CHARACTERS = 4096, 1 << 20
 
 
 def near_enough(needle: str, line: str) -> bool:
-    """The needle, or a stretch about as long that differs by few characters, is in the line."""
+    """The needle, or a stretch about as long that differs by few characters, is in the line.
+
+    How many letters each stretch shares with the needle, order aside, bounds the likeness from above and is
+    counted for all stretches at once; only those that could reach it are compared."""
     if not needle or needle in line:
         return bool(needle)
     if len(needle) < SHORTEST:
         return False
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    sizes = [size for size in range(len(needle) - 1, len(needle) + 2) if size <= len(line)]
+    shared = {size: np.zeros(len(line) - size + 1, np.int32) for size in sizes}
+    for letter, times in collections.Counter(needle).items():
+        before = np.concatenate(([0], np.cumsum(codes == ord(letter), dtype=np.int32)))
+        for size, total in shared.items():
+            total += np.minimum(before[size:] - before[:-size], times).astype(np.int32)
     matcher = difflib.SequenceMatcher(None)
-    for size in range(len(needle) - 1, len(needle) + 2):
-        for at in range(len(line) - size + 1):
+    for size, total in shared.items():
+        for at in np.flatnonzero(2.0 * total / (len(needle) + size) >= RATIO).tolist():
             matcher.set_seqs(needle, line[at : at + size])
-            if matcher.real_quick_ratio() >= RATIO and matcher.quick_ratio() >= RATIO and matcher.ratio() >= RATIO:
+            if matcher.ratio() >= RATIO:
                 return True
     return False
 
