@@ -444,3 +444,30 @@ def test_similar_pairs_over_blocks(spark, monkeypatch, block):
     want = {(a, b): round(s, 9) for a in vectors for b in vectors if a < b and (s := sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items())) >= 0.5}
     made = {(r["a"], r["b"]): round(r["score"], 9) for r in drafting.pairwise_similarity(docs).collect()}
     assert made == want
+
+
+def test_overflow_actions_and_json_columns(spark):
+    one = spark.createDataFrame([("reject_503",), ("reject",), ("defer",), (None,)], "v string")
+    assert [r[0] for r in one.select(flow.setting(F.col("v"), "overflow", "defer")).collect()] == ["reject_503", "defer", "defer", "defer"]
+    texts = spark.createDataFrame([(None,), ("",), ('{"a": null, "b": "1"}',)], "v string")
+    assert [r[0] for r in texts.select(store.decoded(F.col("v"), "map<string,string>")).collect()] == [{}, {}, {"a": None, "b": "1"}]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        spark.createDataFrame([("{",)], "v string").select(store.decoded(F.col("v"), "map<string,string>")).collect()
+    with pytest.raises(ValueError):
+        store.issue_key(spark, "desk", "other")
+
+
+def test_drafts_suggest_checks_that_hold_everywhere(spark):
+    from quire.operators import growth
+
+    rows = [(1, d, n, name, v) for d, *vs in [(1, "01/02/2020", "01/02/2023", "A1"), (2, "2021-03-01", "2024-03-02", "A1")] for n, (name, v) in enumerate(zip(("du", "au", "code"), vs, strict=True))]
+    rows += [(2, d, 0, "nom", f"Nom {d}") for d in (3, 4)]
+    schema = "cluster long, doc_id long, label_no int, name string, value string"
+    made = {r["cluster"]: r for r in growth.value_checks(spark.createDataFrame(rows, schema)).collect()}
+    assert set(made) == {1} and made[1]["dated"] == {"du": True, "au": True}
+    assert [(r["check"], r["first"], r["second"], r["years"], r["allowed"]) for r in made[1]["rules"]] == [
+        ("date_order", "du", "au", None, None),
+        ("date_span", "du", "au", 3, None),
+        ("vocabulary", "code", None, None, ["A1"]),
+    ]
+    assert growth.value_checks(spark.createDataFrame([], schema)).count() == 0
