@@ -162,6 +162,14 @@ def test_geometry_follows_the_scale(spark, scale):
     assert below["nom"] == "DUPONT" and right["numero"] == "X4T29"
 
 
+@pytest.mark.parametrize("find", [extract.value_below])
+def test_no_lines_are_broadcast(spark, find):
+    lines = L.text_lines(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text")))
+    found = find(lines, lines.where("line_no = 0").select("doc_id", F.lit("a").alias("field"), F.col("line_no").alias("anchor_line")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
+
+
 def test_provenance_is_a_share_of_the_page(spark):
     row = spark.createDataFrame([(10.0, 30.0, 90.0, 45.0, 0, 1000.0, 500.0), (1.0, 1.0, 2.0, 2.0, 0, 0.0, 0.0)], "x0 double, y0 double, x1 double, y1 double, page_index int, page_width double, page_height double")
     found = [r["p"] for r in row.select(L.provenance({c: F.col(c) for c in row.columns}).alias("p")).collect()]
