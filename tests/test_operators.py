@@ -162,7 +162,7 @@ def test_geometry_follows_the_scale(spark, scale):
     assert below["nom"] == "DUPONT" and right["numero"] == "X4T29"
 
 
-@pytest.mark.parametrize("find", [extract.value_below])
+@pytest.mark.parametrize("find", [extract.value_below, extract.value_right])
 def test_no_lines_are_broadcast(spark, find):
     lines = L.text_lines(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text")))
     found = find(lines, lines.where("line_no = 0").select("doc_id", F.lit("a").alias("field"), F.col("line_no").alias("anchor_line")))
