@@ -479,3 +479,20 @@ def test_drafts_suggest_checks_that_hold_everywhere(spark):
         ("vocabulary", "code", None, None, ["A1"]),
     ]
     assert growth.value_checks(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 30, 10**9])
+def test_similar_pairs_by_products_and_by_words(spark, monkeypatch, dense):
+    for name, value in (("DENSE", dense), ("COLUMNS", 3), ("ROWS", 2), ("MEETINGS", 3), ("OUT", 2), ("LETTERS", 300)):
+        monkeypatch.setattr(drafting, name, value)
+    rnd = random.Random(5)
+    words = [f"wort{i}" for i in range(30)]
+    rows = [(i, " ".join(rnd.choices(words, weights=[1 / (k + 1) for k in range(30)], k=rnd.randrange(1, 12)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {i: collections.Counter(t.split()) for i, t in rows}
+    df = collections.Counter(w for c in counts.values() for w in c)
+    raw = {i: {w: n * (math.log((len(rows) + 1) / (df[w] + 1)) + 1) for w, n in c.items()} for i, c in counts.items()}
+    vectors = {i: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for i, v in raw.items()}
+    want = {(a, b): round(s, 9) for a in vectors for b in vectors if a < b and (s := sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items())) >= 0.5}
+    made = [(r["a"], r["b"], round(r["score"], 9)) for r in drafting.pairwise_similarity(docs).collect()]
+    assert len(made) == len(want) and {(a, b): s for a, b, s in made} == want
