@@ -496,3 +496,13 @@ def test_similar_pairs_by_products_and_by_words(spark, monkeypatch, dense):
     want = {(a, b): round(s, 9) for a in vectors for b in vectors if a < b and (s := sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items())) >= 0.5}
     made = [(r["a"], r["b"], round(r["score"], 9)) for r in drafting.pairwise_similarity(docs).collect()]
     assert len(made) == len(want) and {(a, b): s for a, b, s in made} == want
+
+
+def test_greedy_clusters_deal_their_edges_once(spark, monkeypatch):
+    plans, kept = [], drafting.kept
+    monkeypatch.setattr(drafting, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    edges = {(i, i + 1) for i in range(0, 30, 3)} | {(i, i + 3) for i in range(0, 27, 3)}
+    docs = spark.range(32).select(F.col("id").alias("doc_id"))
+    made = drafting.greedy_clusters(docs, spark.createDataFrame(sorted(edges) * 2, "a long, b long"))
+    assert {r["doc_id"]: r["cluster"] for r in made.collect()} == plain_clusters(range(32), edges)
+    assert len(plans) > 2 and all("InMemoryRelation" in p for p in plans[1:]) and "Aggregate" not in plans[0]
