@@ -38,7 +38,7 @@ from quire.llm import descent, storage
 FACTOR, SHORT = 1.25, 6
 #: Graph: neighbours a node, trees, nodes of a part, tasks that a small table is dealt to and the least nodes of
 #: each, bound of a band's sample.
-DEGREE, TREES, PART, PARTS, LEAST, SAMPLE = 48, 3, 131072, 6, 4096, 16384
+DEGREE, TREES, PART, PARTS, LEAST, SAMPLE = 48, 3, 32768, 6, 4096, 16384
 #: Search: neighbours of a node that it looks at, each way; the narrowest beam, and how often that may double.
 LINKS, BEAM, WIDER = 48, 32, 4
 PROBES, TARGET = 64, 0.95
@@ -167,11 +167,11 @@ def _deal(codes: DataFrame, dim: int, rng: np.random.Generator, sample: int = SA
 
 def _built(table: pa.Table, dim: int, degree: int, trees: int, rounds: int | None) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """A part's rows in the order of a tree's leaves, their vectors, and their graph."""
-    table = table.take(pa.array(np.argsort(table.column("node").to_numpy(), kind="stable")))
-    x = _decoded(table.column("code"), dim)
+    by_node = np.argsort(table.column("node").to_numpy(), kind="stable")
+    x = _decoded(table.column("code"), dim)[by_node]
     unit, rng = _directions(x), np.random.default_rng([5, len(x)])
     order = np.concatenate(list(descent.leaves(unit, rng)))
-    return table.take(pa.array(order)), x[order], descent.descend(unit[order], degree, trees, rounds, rng)
+    return table.take(pa.array(by_node[order])), x[order], descent.descend(unit[order], degree, trees, rounds, rng)
 
 
 def build_graph(codes: DataFrame, dim: int, *, degree: int = DEGREE, trees: int = TREES, sample: int = SAMPLE, rounds: int | None = None) -> DataFrame:

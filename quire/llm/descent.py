@@ -14,7 +14,7 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW, WORD, ONE = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(1)
 #: Nodes of a leaf of the first graph; neighbours, fresh and joined ones, each way, that meet at a node; share of
 #: edges that may be fresh at the end; centers joined at once and pairs gathered before they are merged.
-LEAF, JOINED, SETTLED, CENTERS, PAIRS = 256, 20, 0.03, 1024, 3_000_000
+LEAF, JOINED, SETTLED, CENTERS, PAIRS = 256, 20, 0.03, 1024, 1_500_000
 #: Nodes that a search visits in a round, its entries, the nodes that these are chosen from, queries at once.
 VISITS, ENTRIES, ENTRANCES, QUERIES = 8, 8, 1024, 128
 
