@@ -506,3 +506,12 @@ def test_greedy_clusters_deal_their_edges_once(spark, monkeypatch):
     made = drafting.greedy_clusters(docs, spark.createDataFrame(sorted(edges) * 2, "a long, b long"))
     assert {r["doc_id"]: r["cluster"] for r in made.collect()} == plain_clusters(range(32), edges)
     assert len(plans) > 2 and all("InMemoryRelation" in p for p in plans[1:]) and "Aggregate" not in plans[0]
+
+
+def test_similar_pairs_are_compared_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(drafting, "BLOCK", 3)
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta wort"), (F.col("id") % 4).cast("string")).alias("text"))
+    pairs = drafting.pairwise_similarity(docs)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert pairs.count() == 8
