@@ -515,3 +515,19 @@ def test_similar_pairs_are_compared_without_a_shuffle(spark, monkeypatch):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
     assert pairs.count() == 8
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_similar_documents_cluster_without_stored_pairs(spark, monkeypatch, block):
+    from quire.plans import catalog
+
+    monkeypatch.setattr(drafting, "BLOCK", block)
+    rnd = random.Random(11)
+    rows = [(3 * i - 20, " ".join(rnd.choice("alpha beta gamma delta kappa sigma omega theta".split()) for _ in range(rnd.randrange(1, 6)))) for i in range(40)] + [(-90, ""), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edges = {(r["a"], r["b"]) for r in drafting.pairwise_similarity(docs).collect()}
+    monkeypatch.setattr(drafting, "pairwise_similarity", None)
+    monkeypatch.setattr(catalog, "_unknown", lambda spark, folder: docs)
+    made = catalog.QUERIES["cluster_greedy"](spark, "").collect()
+    assert len(made) == len(rows) and {r["doc_id"]: r["cluster"] for r in made} == plain_clusters([i for i, _ in rows], edges)
+    assert drafting.similar_clusters(docs.where("text = ''")).collect() == [(-90, -90)]
