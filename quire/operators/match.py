@@ -23,37 +23,92 @@ RATIO = 0.75
 SHORTEST = 4
 #: Needles that are broadcast at once, by number and by characters.
 MOST_NEEDLES, MOST_CHARACTERS = 4096, 1 << 20
+#: Characters of lines that are compared at once.
+AT_ONCE = 1 << 20
 
 
 def near_enough(needle: str, line: str) -> bool:
-    """The needle, or a stretch about as long that differs by few characters, is in the line.
+    """The needle, or a stretch about as long that differs by few characters, is in the line."""
+    return bool(near_lines(needle, [line])[0])
 
-    How many letters each stretch shares with the needle, order aside, bounds the likeness from above and is
-    counted for all stretches at once; only those that could reach it are compared."""
-    if not needle or needle in line:
-        return bool(needle)
+
+def near_lines(needle: str, lines: list[str]) -> np.ndarray:
+    """``near_enough`` of many lines at once."""
+    out = np.array([bool(needle) and needle in line for line in lines], bool)
     if len(needle) < SHORTEST:
-        return False
-    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-    sizes = [size for size in range(len(needle) - 1, len(needle) + 2) if size <= len(line)]
-    shared = {size: np.zeros(len(line) - size + 1, np.int32) for size in sizes}
-    for letter, times in collections.Counter(needle).items():
-        before = np.concatenate(([0], np.cumsum(codes == ord(letter), dtype=np.int32)))
+        return out
+    some, held = [], 0
+    for k in np.flatnonzero(~out).tolist():
+        some.append(k)
+        held += len(lines[k]) + 1
+        if held > AT_ONCE:
+            out[some] = _near_stretches(needle, [lines[k] for k in some])
+            some, held = [], 0
+    if some:
+        out[some] = _near_stretches(needle, [lines[k] for k in some])
+    return out
+
+
+def _near_stretches(needle: str, lines: list[str]) -> np.ndarray:
+    """Lines a stretch of which is like the needle.  How many letters a stretch shares with the needle, order aside, and then in
+    order, bounds the likeness from above and is counted for all stretches at once; only those that could reach it are compared."""
+    joined = "\n".join(lines)
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(line) + 1 for line in lines]) - 1
+    sizes = [size for size in range(len(needle) - 1, len(needle) + 2) if size <= len(codes)]
+    kind = np.uint8 if len(needle) < 255 else np.int32  # counts of a stretch are right though those of the whole wrap around
+    shared = {size: np.zeros(len(codes) - size + 1, kind) for size in sizes}
+    letters = collections.Counter(needle)
+    for letter, times in letters.items():
+        before = np.zeros(len(codes) + 1, kind)
+        np.cumsum(codes == ord(letter), dtype=kind, out=before[1:])
         for size, total in shared.items():
-            total += np.minimum(before[size:] - before[:-size], times).astype(np.int32)
+            total += np.minimum(before[size:] - before[:-size], kind(times))
+    out = np.zeros(len(lines), bool)
     matcher = difflib.SequenceMatcher(None)
+    known: dict[str, bool] = {}
     for size, total in shared.items():
-        for at in np.flatnonzero(2.0 * total / (len(needle) + size) >= RATIO).tolist():
-            matcher.set_seqs(needle, line[at : at + size])
-            if matcher.ratio() >= RATIO:
-                return True
-    return False
+        least = next(n for n in range(len(needle) + size + 1) if 2.0 * n / (len(needle) + size) >= RATIO)
+        at = np.flatnonzero(total >= least) if least <= len(needle) else np.zeros(0, "int64")
+        line = np.searchsorted(ends, at)
+        able = (at + size <= ends[line]) & ~out[line]
+        at, line = at[able], line[able]
+        if len(needle) <= 64:
+            able = _in_order(needle, codes, at, size) >= least
+            at, line = at[able], line[able]
+        for start, k in zip(at.tolist(), line.tolist(), strict=True):
+            if not out[k]:
+                stretch = joined[start : start + size]
+                if stretch not in known:
+                    matcher.set_seqs(needle, stretch)
+                    known[stretch] = matcher.ratio() >= RATIO
+                out[k] = known[stretch]
+    return out
+
+
+def _in_order(needle: str, codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Length of the longest common subsequence of the needle and each stretch: bits of a word are the needle's letters."""
+    places: dict[int, int] = {}
+    for k, letter in enumerate(needle):
+        places[ord(letter)] = places.get(ord(letter), 0) | 1 << k
+    known = np.array(sorted(places), np.uint32)
+    masks = np.array([places[c] for c in known.tolist()] + [0], np.uint64)
+    free = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(size):
+        letter = codes[at + k]
+        found = np.searchsorted(known, letter).clip(max=len(known) - 1)
+        met = free & masks[np.where(known[found] == letter, found, len(known))]
+        free = (free + met) | (free - met)
+    return np.bitwise_count(~free & np.uint64((1 << len(needle)) - 1)).astype("int64")
 
 
 @F.pandas_udf(T.BooleanType())
 def _near(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for needles, lines in pairs:
-        yield pd.Series([near_enough(n, x) for n, x in zip(needles, lines, strict=True)])
+        out = pd.Series(False, index=needles.index)
+        for needle, some in lines.groupby(needles):
+            out[some.index] = near_lines(needle, some.tolist())
+        yield out
 
 
 def templates_table(spark: SparkSession, templates: list[dict]) -> DataFrame:

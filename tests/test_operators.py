@@ -531,3 +531,14 @@ def test_similar_documents_cluster_without_stored_pairs(spark, monkeypatch, bloc
     made = catalog.QUERIES["cluster_greedy"](spark, "").collect()
     assert len(made) == len(rows) and {r["doc_id"]: r["cluster"] for r in made} == plain_clusters([i for i, _ in rows], edges)
     assert drafting.similar_clusters(docs.where("text = ''")).collect() == [(-90, -90)]
+
+
+def test_near_lines_of_a_batch(monkeypatch):
+    monkeypatch.setattr(match, "AT_ONCE", 60)
+    rnd = random.Random(4)
+    for size in (1, 3, 4, 7, 9, 70, 260):
+        needle = "".join(rnd.choice("abcdé") for _ in range(size))
+        lines = ["", needle, needle[1:] + "b", "a" + needle[: size // 2], "bb" + needle[: size // 2] + "x" * (size // 7) + needle[size // 2 + size // 7 :]]
+        lines += ["".join(rnd.choice("abcdé") for _ in range(rnd.randrange(30))) for _ in range(20)]
+        slips = lambda line: size >= 4 and any(difflib.SequenceMatcher(None, needle, line[i : i + n]).ratio() >= 0.75 for n in range(size - 1, size + 2) for i in range(len(line) - n + 1))  # noqa: E731, B023
+        assert match.near_lines(needle, lines).tolist() == [needle in line or slips(line) for line in lines]
