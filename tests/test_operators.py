@@ -542,3 +542,15 @@ def test_near_lines_of_a_batch(monkeypatch):
         lines += ["".join(rnd.choice("abcdé") for _ in range(rnd.randrange(30))) for _ in range(20)]
         slips = lambda line: size >= 4 and any(difflib.SequenceMatcher(None, needle, line[i : i + n]).ratio() >= 0.75 for n in range(size - 1, size + 2) for i in range(len(line) - n + 1))  # noqa: E731, B023
         assert match.near_lines(needle, lines).tolist() == [needle in line or slips(line) for line in lines]
+
+
+def test_names_of_all_clusters_in_one_pass(spark, monkeypatch):
+    slugs = {1: ["nom", "nom", "nom_2", "nom", "nom_2"], 2: ["nom", "date", "nom"], 3: ["nom_2", "nom", "nom"], 4: ["a"] * 12}
+    rows = [(c, i, s) for c, names in slugs.items() for i, s in enumerate(names)]
+    labels = spark.createDataFrame(rows, "cluster long, label_no int, label string")
+    made = drafting.unique_names(labels)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    names = {}
+    for r in made.orderBy("cluster", "label_no").collect():
+        names.setdefault(r["cluster"], []).append(r["name"])
+    assert names == {1: ["nom", "nom_2", "nom_2_2", "nom_3", "nom_2_3"], 2: ["nom", "date", "nom_2"], 3: ["nom_2", "nom", "nom_3"], 4: ["a"] + [f"a_{i}" for i in range(2, 13)]}
